@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import byte_bpe, packing, token_files
 
 QUERIES = {
+    "op3_byte_bpe_monoid": byte_bpe.op3,
+    "op4_token_files": token_files.op4,
     "op10_best_fit_packing": packing.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
