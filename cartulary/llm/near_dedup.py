@@ -214,3 +214,20 @@ def classified(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     return classified(table(spark, sf_dir, "documents"))
+
+
+def deduplicated(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id, with all columns of docs.
+
+    Rows with a null doc_id stay.  Of rows that repeat a doc_id that stays, one stays.
+    """
+    found = saved(classified(docs, width), "classified")
+    ids = found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).select(F.col("doc_id").alias("__kept"), "rows")
+    ids = saved(ids, "kept")
+    same = F.col("doc_id").cast("long") == F.col("__kept")
+    once = docs.join(ids.filter("rows = 1").hint("shuffle_hash"), same, "left_semi")
+    if ids.filter("rows > 1").limit(1).count():
+        # rows that share an id: only these are compared as rows
+        again = docs.join(ids.filter("rows > 1").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id"])
+        once = once.unionByName(again)
+    return once.unionByName(docs.filter("doc_id is null"))
