@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, near_dedup, packing, quality, secrets, suffix_tree, token_files
+from . import byte_bpe, licenses, near_dedup, packing, quality, secrets, suffix_tree, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op2_license_scans": licenses.op2,
     "op3_byte_bpe_monoid": byte_bpe.op3,
     "op4_token_files": token_files.op4,
     "op6_near_dedup": near_dedup.op6,
