@@ -9,11 +9,12 @@ values thus serve 66 tables of four values, where independent tables would need
 agree: at s = 0.85 that happens 7 times in a million, at 0.9 once in 10 million.
 
 Tables are never multiplied out.  Each bucket first links its members to one
-pivot (its smallest id), which settles the groups of near copies.  What is left
-are members of a bucket that are in another component than its pivot: only
-these strays are compared with the bucket's members, each pair in one table only,
-and only where their sizes and their counts of shingles that no other candidate
-has leave the similarity in reach.  All links are confirmed on full sets, so no
+pivot, the one with the smallest share of shingles that no other candidate has.
+That settles the groups of near copies.  Buckets that still hold several
+components make families; the members outside a family's largest component, the
+strays, are queries against all its members in blocks (see stray_links).
+Candidates with so many shingles of their own that the similarity is out of
+reach with any set drop out before.  All links are confirmed on full sets, so no
 pair that shares a table is lost and none is wrong.  Components come from
 repeated smallest-neighbour steps with pointer jumping over stored tables.
 """
@@ -37,6 +38,8 @@ PER_COLLECTION = 2
 SHINGLE = 3
 #: Links: 100 * intersection >= 85 * union.
 PERCENT = 85
+#: Expected sets of a block of a family.
+BLOCK = 256
 PAIRS = list(combinations(range(COLLECTIONS), 2))
 
 _rng = np.random.default_rng(20)
@@ -161,29 +164,72 @@ def reachable(na, ca, nb, cb):
 def links(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """All confirmed links (a, b) that decide components, of classes (id, doc_id, n, fp, coll)."""
     keys = table_keys(classes)
-    shared = saved(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select("key", "pivot"), "buckets")
-    members = saved(keys.join(shared, "key").select("key", "id", "pivot"), "members")
-    ids = members.groupBy("id").agg(F.count("*").alias("tables"))
+    shared = saved(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key"), "buckets")
+    members = saved(keys.join(shared, "key").select("key", "id"), "members")
+    ids = saved(members.select("id").distinct(), "candidates")
     sets = saved(full_sets(docs, classes.join(ids, "id", "left_semi"), width), "sets")
-    star = saved(confirmed(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sets), "star")
-    comps = components(star)
 
     # of the candidates: the size of the set and how many of its shingles another candidate has too
     each = sets.select("id", F.explode("shingles").alias("s"))
     alone = each.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
-    facts = classes.select("id", "n").join(ids, "id").join(alone, "id", "left").join(comps, "id", "left")
-    facts = facts.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"), F.coalesce("comp", "id").alias("comp"))
+    facts = classes.select("id", "n").join(ids, "id", "left_semi").join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
     alive = saved(facts.filter(reachable(F.col("n"), F.col("c"), F.col("c"), F.col("c"))), "alive")
 
-    inside = saved(members.drop("pivot").join(alive, "id").select("key", "id", "n", "c", "comp"), "inside")
-    mains = inside.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("other")).filter("main <> other").select("key", "main")
-    open_ = saved(inside.join(mains, "key"), "open")
-    x, y = open_.filter("comp <> main").alias("x"), open_.alias("y")
-    fits = (F.col("x.comp") != F.col("y.comp")) & reachable(F.col("x.n"), F.col("x.c"), F.col("y.n"), F.col("y.c"))
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    strays = x.join(y, (F.col("x.key") == F.col("y.key")) & fits & once)
-    strays = strays.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    return star.union(confirmed(strays, sets))
+    live = members.join(alive, "id")
+    best = live.groupBy("key").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("id")).alias("last"), "id", "n", "c")).alias("p"))
+    met = saved(live.join(best, "key").select("key", "id", "n", "c", F.col("p.id").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.c").alias("p_c")), "met")
+    star = met.filter((F.col("id") != F.col("pivot")) & reachable(F.col("n"), F.col("c"), F.col("p_n"), F.col("p_c")))
+    star = saved(confirmed(star.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), sets), "star")
+    return star.union(saved(stray_links(met.select("key", "id", "pivot"), components(star), sets), "strays"))
+
+
+def stray_links(met: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components of buckets that hold more than one, among met (key, id, pivot).
+
+    Buckets that hold several components, chained by the members they share, are
+    families.  In each family the members outside its largest component, the
+    strays, are the queries against all its members, block by block: a task holds
+    two blocks of about BLOCK sets at a time, and gives out only links.
+    """
+    named = saved(met.join(comps, "id", "left").select("key", "id", "pivot", F.coalesce("comp", "id").alias("comp")), "named")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    chained = saved(named.join(mixed, "key").select("id", "pivot", "comp").distinct(), "mixed")
+    families = components(chained.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    rows = saved(families.withColumnRenamed("comp", "family").join(chained.select("id", "comp").distinct(), "id"), "families")
+    sizes = rows.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("family").agg(F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("most"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    placed = rows.join(sizes.select("family", blocks.alias("blocks"), F.col("most.comp").alias("main")), "family")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("stray", F.col("comp") != F.col("main"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    common = ("family", "id", "comp", "stray")
+    queries = placed.filter("stray").select(*common, F.lit(True).alias("query"), F.col("block").alias("x"), F.explode(others).alias("y"))
+    targets = placed.select(*common, F.lit(False).alias("query"), F.explode(others).alias("x"), F.col("block").alias("y"))
+    dealt = queries.union(targets).join(sets, "id")
+    return dealt.groupBy("family", "x", "y").applyInArrow(block_links, "a long, b long")
+
+
+def block_links(group: pa.Table) -> pa.Table:
+    """Links of the queries of one block with the targets of another, by the targets' inverted lists."""
+    query = group["query"].to_numpy(zero_copy_only=False)
+    ids, comp, stray = (group[c].to_numpy(zero_copy_only=False) for c in ("id", "comp", "stray"))
+    sets = [x.values.to_numpy() for x in group["shingles"]]
+    t = np.flatnonzero(~query)
+    found: list[tuple[int, int]] = []
+    if len(t):
+        sizes = np.array([len(sets[k]) for k in t])
+        flat, owner = np.concatenate([sets[k] for k in t]), np.repeat(np.arange(len(t)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for k in np.flatnonzero(query):
+            lo, hi = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(t))
+            near = 100 * both >= PERCENT * (sizes + len(sets[k]) - both)
+            near &= (comp[t] != comp[k]) & (~stray[t] | (ids[t] > ids[k]))
+            found += [(min(ids[k], i), max(ids[k], i)) for i in ids[t[near]].tolist()]
+    return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
 
 
 def classified(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
