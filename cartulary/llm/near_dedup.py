@@ -39,7 +39,7 @@ SHINGLE = 3
 #: Links: 100 * intersection >= 85 * union.
 PERCENT = 85
 #: Expected sets of a block of a family.
-BLOCK = 256
+BLOCK = 128
 PAIRS = list(combinations(range(COLLECTIONS), 2))
 
 _rng = np.random.default_rng(20)
