@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, licenses, near_dedup, packing, quality, secrets, suffix_tree, token_files
+from . import byte_bpe, licenses, near_dedup, neighbours, packing, quality, secrets, suffix_tree, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6,
     "op7_suffix_tree_scores": suffix_tree.op7,
     "op8_secret_scans": secrets.op8,
+    "op9_learned_partitions": neighbours.op9,
     "op10_best_fit_packing": packing.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
