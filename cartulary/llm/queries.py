@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, licenses, near_dedup, neighbours, packing, quality, secrets, suffix_tree, token_files
+from . import byte_bpe, edit_counts, licenses, near_dedup, neighbours, packing, quality, secrets, suffix_tree, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_license_scans": licenses.op2,
     "op3_byte_bpe_monoid": byte_bpe.op3,
     "op4_token_files": token_files.op4,
+    "op5_edit_counts": edit_counts.op5,
     "op6_near_dedup": near_dedup.op6,
     "op7_suffix_tree_scores": suffix_tree.op7,
     "op8_secret_scans": secrets.op8,
