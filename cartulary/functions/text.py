@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Words that carry no meaning in a name, and shorthand for long names.
 GENERIC_WORDS = ("department", "of", "the", "and", "office", "us", "u", "s")
@@ -59,7 +60,7 @@ def expanded(question: Column | str) -> Column:
     return F.concat(q, *found)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts; Spark has no such function.  For distinct names, not for facts."""
     from difflib import SequenceMatcher
@@ -67,7 +68,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def best_window_ratio(name: pd.Series, text: pd.Series) -> pd.Series:
     """The best similarity of a name with any run of as many words of a text."""
     from difflib import SequenceMatcher
@@ -137,10 +138,14 @@ def metric_kind(name: Column | str) -> Column:
     return reduce(lambda rest, kind: F.when(F.regexp_like(low, F.lit(METRIC_KINDS[kind])), kind).otherwise(rest), reversed(METRIC_KINDS), F.lit("generic"))
 
 
+def _formatted(value: Column, pattern: str) -> Column:
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def shown(name: Column | str, value: Column | str) -> Column:
     """A value as text in its metric's unit; shares up to 1.5 count as fractions."""
     v, kind = col(value), metric_kind(name)
     size, sign = F.abs(v), F.when(v < 0, "-").otherwise("")
-    money = F.when(size >= 1e9, F.concat(F.format_number(size / 1e9, "0.00"), F.lit("B"))).when(size >= 1e6, F.concat(F.format_number(size / 1e6, "0.00"), F.lit("M"))).when(size >= 1e3, F.format_number(size, 0)).otherwise(F.format_number(size, "0.00"))
-    percent = F.concat(F.format_number(F.when(size <= 1.5, v * 100).otherwise(v), "0.0"), F.lit("%"))
-    return F.when(v.isNull(), "N/A").when(kind == "money", F.concat(sign, F.lit("$"), money)).when(kind == "percent", percent).when(kind == "count", F.format_number(v, 0)).otherwise(F.format_number(v, "#,##0.##"))
+    money = F.when(size >= 1e9, F.concat(_formatted(size / 1e9, "0.00"), F.lit("B"))).when(size >= 1e6, F.concat(_formatted(size / 1e6, "0.00"), F.lit("M"))).when(size >= 1e3, F.format_number(size, 0)).otherwise(_formatted(size, "0.00"))
+    percent = F.concat(_formatted(F.when(size <= 1.5, v * 100).otherwise(v), "0.0"), F.lit("%"))
+    return F.when(v.isNull(), "N/A").when(kind == "money", F.concat(sign, F.lit("$"), money)).when(kind == "percent", percent).when(kind == "count", F.format_number(v, 0)).otherwise(_formatted(v, "#,##0.##"))
