@@ -8,6 +8,7 @@ and `_relations` alone.
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -105,3 +106,16 @@ def query(spark: SparkSession, sql: str, most: int = 250) -> DataFrame:
 
 def answer(spark: SparkSession, sql: str, most: int = 250) -> list[dict]:
     return fetch(query(spark, sql, most), most)
+
+
+def batch(spark: SparkSession, queries: dict[str, str], most: int = 250) -> dict[str, dict]:
+    """Each query's rows and milliseconds, or why it was refused."""
+    out = {}
+    for name, sql in queries.items():
+        began = time.perf_counter()
+        try:
+            out[name] = {"rows": answer(spark, sql, most)}
+        except Refused as e:
+            out[name] = {"error": str(e)}
+        out[name]["execution_ms"] = round(1000 * (time.perf_counter() - began))
+    return out
