@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
+from .chunks import BATCH_BYTES, ChunkEncoder
 from .common import little_endian, map_batches, slices, table, widened
 
 #: Bytes that are merged directly, tokens that are decoded at once, matches and pairs remembered by a worker.
@@ -136,7 +136,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         chunks = loaded(ranks, pattern)[1]
 
         def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in slices(batch):
+            for part in slices(batch, most=BATCH_BYTES):
                 ids = [widened(x).tobytes() for x in chunks.encode(part["text"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 

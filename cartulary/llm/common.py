@@ -66,7 +66,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about `most` bytes of text, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -97,12 +97,39 @@ def library_encoder(path: str):
     if tok.get_vocab_size() > 1 << 16:
         raise ValueError("a vocabulary of more than 65,536 ids doesn't fit 16 bits")
 
-    def encode_many(texts: list[str]) -> list[bytes]:
+    def whole(texts: list[str]) -> list[bytes]:
         return [little_endian(e.ids, "H") for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    # what a word of letters, after a space, is to the model: as the vocabulary's pre-tokenizer has it
+    table = byte_characters()
+    model, forms = tok.model, (lambda w: "\u0120" + w, str.lower)
+    probes = [" Ab", " cd", " \u00e9t\u00e9", " Zz"]
+
+    def parts(word: str, form: Callable[[str], str]) -> bytes:
+        return little_endian([t.id for t in model.tokenize(form(word[1:]) if word.isascii() else spelt(form(word[1:])))], "H")
+
+    def spelt(word: str) -> str:
+        return "".join(c if c == "\u0120" else c.encode().decode("latin-1").translate(table) for c in word)
+
+    form = next((f for f in forms if [parts(p, f) for p in probes] == whole(probes)), None)
+
+    def encode_many(texts: list[str]) -> list[bytes]:
+        if form is None:
+            return whole(texts)
+        word = [t[:1] == " " and t[1:].isalpha() and max(t) <= "\u00ff" for t in texts]
+        rest = iter(whole([t for t, w in zip(texts, word, strict=True) if not w]))
+        return [parts(t, form) if w else next(rest) for t, w in zip(texts, word, strict=True)]
+
     return encode_many
 
 
+def byte_characters() -> dict[int, int]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(others)}
+
+
 @lru_cache(maxsize=4)
 def library_chunks(path: str):
     """One chunk cache for each worker process, kept over its tasks."""

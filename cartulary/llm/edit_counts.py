@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
+from .chunks import BATCH_BYTES, ChunkEncoder
 from .common import library_chunks, map_batches, slices, table
 
 LEAF_CHARS = 256
@@ -155,7 +155,7 @@ def counted(docs: DataFrame, vocabulary: str, edits_of: Callable[[str], list[Edi
         encoder = library_chunks(vocabulary)
 
         def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in slices(batch):
+            for part in slices(batch, most=BATCH_BYTES):
                 texts, rows = part["text"].to_pylist(), []
                 for text, tree in zip(texts, trees(encoder, texts), strict=True):
                     before, edits = tree.n_tokens, edits_of(text or "")

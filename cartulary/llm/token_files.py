@@ -23,6 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import BATCH_BYTES
 from .common import exchange_count, fresh_path, library_chunks, saved, slices, table
 
 SEQUENCE = 2048
@@ -114,7 +115,7 @@ def write_files(docs: DataFrame, vocabulary: str, at: str, length: int = SEQUENC
         n_docs = at_token = 0
         opened = None
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=BATCH_BYTES):
                 if opened is None:
                     fs.create_dir(folder)
                     names = [f"part-{part:06d}-{uuid.uuid4().hex}.{kind}.arrows" for kind in ("sequences", "documents")]

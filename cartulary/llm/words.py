@@ -22,6 +22,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    up, down = _powers(len(data))
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
+    return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 @dataclass
 class Words:
     """hashes of all words in order; those of text i are hashes[bounds[i]:bounds[i + 1]]."""
@@ -41,10 +49,7 @@ def words_of(column: pa.Array, lower: bool) -> Words:
     space = IS_SPACE[data]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1  # the data starts and ends with a space
     starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(len(data))
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
-    hashes = mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hashes(data, starts, ends)
     bounds = np.searchsorted(starts, begins)
     sizes = np.concatenate([[0], np.cumsum(ends - starts)])
     return Words(hashes, bounds, np.diff(sizes[bounds]))
