@@ -16,4 +16,24 @@ QUERIES = {
     "op9_learned_partitions": neighbours.op9,
     "op10_best_fit_packing": packing.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: SQL has neither the vocabularies nor trained models; those queries are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(CASE WHEN len(w) >= 3 THEN range(1, len(w) - 1) WHEN len(w) > 0 THEN [0] ELSE [] END) AS i FROM words
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN i = 0 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s FROM places
+), sizes AS (
+  SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), reached AS (
+  SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.y, r.c FROM reached r JOIN links l ON r.doc_id = l.x
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT doc_id, MIN(c) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)""",
+}
