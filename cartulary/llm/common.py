@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from array import array
@@ -26,10 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where that is unset, as in tests on one machine, a folder of our own is set.
+    Only where that is unset on one machine, as in tests, a folder of our own is
+    set, which goes when Python ends.  A cluster has to name one.
     """
     if not (d := spark.conf.get("spark.checkpoint.dir", None)):
-        d = "file://" + tempfile.mkdtemp(prefix="cartulary-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="cartulary-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        d = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
