@@ -9,12 +9,14 @@ test), or if a longer kept context needs it.  Distributions are smoothed towards
 the next shorter kept context in proportion to how many different symbols
 follow, and each symbol is scored by the longest kept suffix of what precedes it.
 
-A context must make up ``LEAST_SHARE`` of all symbols, so there are at most
-1 / LEAST_SHARE of each length, and 64**k of k symbols: 790,592 states of 64
-numbers, 202 MB, bound what is broadcast, however large the corpus; texts in a
-few languages have a tenth of that.  The counts behind it cover every
-training text.  Word counts for the base score aren't bounded: only the words that occur most, ``HOT_WORDS`` at most, go to every
-task, and each document's other words meet their counts in a join.
+The tree grows with the corpus: every context that occurs ``LEAST_COUNT`` times
+is tested.  Counts of runs stay a table.  The contexts that share their ``_DENSE``
+newest symbols are one subtree, decided in a task by itself; only the lengths
+below that (64**2 contexts of 64 symbols at most) and which contexts of _DENSE
+symbols are kept (64**3 at most) meet at the driver.  The distinct runs of each
+block of texts meet their log probabilities in joins.  Only the ``HOT_WORDS``
+words that occur most go to every task; each document's other words meet their
+counts in a join.
 Words are told apart by 64-bit hashes.
 """
 
@@ -37,7 +39,10 @@ FREQUENT = SYMBOLS - 2
 OTHER, END = SYMBOLS - 2, SYMBOLS - 1
 DEPTH = 5
 LEAST_COUNT = 4
-LEAST_SHARE = 2.0**-18
+#: A context needs no share of the corpus.
+LEAST_SHARE = 0.0
+#: Bytes of text of a block, which is scored in one task.
+BLOCK_BYTES = 16 << 20
 #: A context is kept if its likelihood ratio is over so many times its degrees of freedom.
 DIVERGENCE = 1.0
 #: Weight of the shorter context, times the number of different symbols that follow.
@@ -125,17 +130,16 @@ class SuffixTree:
             state[rows] = first + at[hit]
         return state
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        if not texts:
-            return np.zeros(0)
-        code, starts, others = self.alphabet.grams(texts)
-        log = self.log10_next[self.states(code >> np.uint64(_BITS)), code & np.uint64(SYMBOLS - 1)]
-        return np.add.reduceat(log.astype(np.float64), starts) + others * OTHER_LOG10
+    def log10_of(self, key: np.ndarray) -> np.ndarray:
+        """log10 probability of the last symbol of each run of DEPTH symbols and the next."""
+        return self.log10_next[self.states(key >> np.uint64(_BITS)), key & np.uint64(SYMBOLS - 1)]
 
 
-def grown(alphabet: Alphabet, levels: list[tuple[np.ndarray, np.ndarray]], divergence: float = DIVERGENCE) -> SuffixTree:
-    """The tree from the frequent contexts of each length from 0 to DEPTH, sorted, with their next-symbol counts."""
+Levels = list[tuple[np.ndarray, np.ndarray]]
+
+
+def kept_contexts(levels: Levels, divergence: float = DIVERGENCE, needed: dict[int, np.ndarray] | None = None) -> list[np.ndarray]:
+    """Which contexts of each level are kept; `needed` has contexts by length that are kept anyway."""
     kept: list[np.ndarray] = []
     shorter = np.full((1, SYMBOLS), 1 / SYMBOLS)
     for d, (contexts, n) in enumerate(levels):
@@ -143,10 +147,18 @@ def grown(alphabet: Alphabet, levels: list[tuple[np.ndarray, np.ndarray]], diver
         total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = 2 * np.where(n > 0, n * np.log(n / total / base), 0).sum(1)
+            shorter = (n + SMOOTHING * kinds * base) / (total + SMOOTHING * kinds)
         kept.append(ratio > divergence * kinds[:, 0])
-        shorter = (n + SMOOTHING * kinds * base) / (total + SMOOTHING * kinds)
-    for d in range(DEPTH, 1, -1):  # what a kept context needs
+    for d, contexts in (needed or {}).items():
+        kept[d] |= np.isin(levels[d][0], contexts)
+    for d in range(len(levels) - 1, 1, -1):  # what a kept context needs
         kept[d - 1][np.searchsorted(levels[d - 1][0], suffix(levels[d][0][kept[d]], d - 1))] = True
+    return kept
+
+
+def grown(alphabet: Alphabet, levels: Levels, divergence: float = DIVERGENCE, needed: dict[int, np.ndarray] | None = None) -> SuffixTree:
+    """The tree from the frequent contexts of each length from 0 to DEPTH, sorted, with their next-symbol counts."""
+    kept = kept_contexts(levels, divergence, needed)
     root = levels[0][1].sum(0)
     tables = [((root + 0.5) / (root.sum() + 0.5 * SYMBOLS))[None, :]]
     dense, long_contexts, long_first = np.zeros(1, np.int32), [], []
@@ -166,27 +178,71 @@ def grown(alphabet: Alphabet, levels: list[tuple[np.ndarray, np.ndarray]], diver
     return SuffixTree(alphabet, dense, long_contexts, long_first, np.log10(np.concatenate(tables)).astype(np.float32))
 
 
-def frequent_contexts(grams: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of (key, n), with keys of DEPTH symbols and the next: each length's frequent contexts and next-symbol counts.
+def level(key: np.ndarray, n: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent contexts of length d, sorted, and their next-symbol counts, from counts of longer runs."""
+    key = suffix(key, d + 1)
+    contexts, row = np.unique(key >> np.uint64(_BITS), return_inverse=True)
+    counts = np.bincount(row * SYMBOLS + (key & np.uint64(SYMBOLS - 1)).astype(np.int64), n, len(contexts) * SYMBOLS).reshape(-1, SYMBOLS)
+    often = counts.sum(1) >= (LEAST_COUNT if d else 1)
+    return contexts[often], counts[often]
 
-    No more than 1 / LEAST_SHARE contexts of a length are frequent, so what the
-    driver gets is bounded.
-    """
-    symbols = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
-    least = max(LEAST_COUNT, math.ceil(LEAST_SHARE * symbols))
-    levels = []
-    for d in range(DEPTH, -1, -1):
-        mask = (1 << _BITS * (d + 1)) - 1
-        grams = saved(grams.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")), f"grams{d}")
-        context = F.shiftright("key", _BITS).alias("context")
-        often = grams.groupBy(context).agg(F.sum("n").alias("total")).filter(F.col("total") >= (least if d else 1)).select("context")
-        got = grams.select(context, "key", "n").join(F.broadcast(often), "context", "left_semi").toArrow()
-        key, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
-        contexts, row = np.unique(key >> np.uint64(_BITS), return_inverse=True)
-        counts = np.zeros((len(contexts), SYMBOLS))
-        counts[row, key & np.uint64(SYMBOLS - 1)] = n
-        levels.append((contexts, counts))
-    return levels[::-1]
+
+def unsigned(column) -> np.ndarray:
+    return column.to_numpy().astype(np.uint64)
+
+
+@dataclass(frozen=True)
+class StoredTree:
+    """The alphabet, the levels shorter than _DENSE with what is kept of them, and the table of runs (key, n, branch)."""
+
+    alphabet: Alphabet
+    levels: Levels
+    needed: dict[int, np.ndarray]
+    grams: DataFrame
+
+    def log10_table(self, keys: DataFrame) -> DataFrame:
+        """key, log10 of distinct keys: each branch's subtree is grown where its keys are looked up."""
+        levels, needed = self.levels, self.needed
+
+        def look_up(runs: pa.Table, asked: pa.Table) -> pa.Table:
+            if not asked.num_rows:
+                return pa.table({"key": pa.array([], pa.int64()), "log10": pa.array([], pa.float32())})
+            tree = grown(None, branch_levels(levels, asked["branch"][0].as_py(), unsigned(runs["key"]), runs["n"].to_numpy()), needed=needed)
+            return pa.table({"key": asked["key"], "log10": pa.array(tree.log10_of(unsigned(asked["key"])))})
+
+        return self.grams.groupBy("branch").cogroup(keys.withColumn("branch", branch()).groupBy("branch")).applyInArrow(look_up, "key long, log10 float")
+
+
+def branch() -> Column:
+    """The _DENSE newest symbols of a run's context."""
+    return F.shiftright("key", _BITS).bitwiseAND(F.lit((1 << _BITS * _DENSE) - 1))
+
+
+def branch_levels(levels: Levels, own: int, key: np.ndarray, n: np.ndarray) -> Levels:
+    """The levels of the contexts that end with a branch's symbols, and of its own suffixes."""
+    shorter = []
+    for d, (contexts, counts) in enumerate(levels):
+        at = contexts == np.uint64(own & ((1 << _BITS * d) - 1))
+        shorter.append((contexts[at], counts[at]))
+    return shorter + [level(key, n, d) for d in range(_DENSE, DEPTH + 1)]
+
+
+def stored_tree(alphabet: Alphabet, grams: DataFrame) -> StoredTree:
+    """The tree of (key, n), with keys of DEPTH symbols and the next."""
+    grams = saved(grams.select("key", "n", branch().alias("branch")), "grams")
+    short = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << _BITS * _DENSE) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    levels = [level(unsigned(short["key"]), short["n"].to_numpy(), d) for d in range(_DENSE)]
+    if not len(levels[0][0]):
+        levels[0] = np.zeros(1, np.uint64), np.zeros((1, SYMBOLS))
+
+    def decide(runs: pa.Table) -> pa.Table:
+        own = runs["branch"][0].as_py()
+        kept = kept_contexts(branch_levels(levels, own, unsigned(runs["key"]), runs["n"].to_numpy()))[_DENSE]
+        return pa.table({"branch": pa.array([own] if kept.any() else [], pa.int64())})
+
+    kept = unsigned(grams.groupBy("branch").applyInArrow(decide, "branch long").toArrow()["branch"])
+    top = kept_contexts(levels, needed={_DENSE - 1: suffix(kept, _DENSE - 1)})
+    return StoredTree(alphabet, levels, {d: levels[d][0][top[d]] for d in range(1, _DENSE)}, grams)
 
 
 def added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +314,7 @@ class Unigrams:
         return self.tokens + 0.1 * (self.kinds + 1)
 
 
-def trained(docs: DataFrame) -> tuple[SuffixTree, Unigrams, DataFrame]:
+def trained(docs: DataFrame) -> tuple[StoredTree, Unigrams, DataFrame]:
     """Of training documents: the tree, the word sums with the hot words, and the table of word counts."""
     counts = saved(counted(docs, _words_and_characters, COUNTS), "counts")
     frequent = counts.filter(F.col("kind") == CHARACTER).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
@@ -284,14 +340,54 @@ def trained(docs: DataFrame) -> tuple[SuffixTree, Unigrams, DataFrame]:
     def grams():
         return lambda texts: {0: shared.value.grams(texts.to_pylist())[0]}
 
-    levels = frequent_contexts(saved(counted(docs, grams, COUNTS).select("key", "n"), "grams"))
-    return grown(alphabet, levels), unigrams, words
+    return stored_tree(alphabet, counted(docs, grams, COUNTS)), unigrams, words
 
 
-HEADS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"
+HEADS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, block long, text string, rare array<long>, times array<long>"
+SCORES = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
 
 
-def scored(docs: DataFrame, tree: SuffixTree, unigrams: Unigrams, words: DataFrame) -> DataFrame:
+def text_scores(heads: DataFrame, tree: StoredTree) -> DataFrame:
+    """SCORES of heads, a stored table with the block of each row; a block's texts meet the log10 of its distinct runs."""
+    alphabet = heads.sparkSession.sparkContext.broadcast(tree.alphabet)
+
+    def distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts = None, []
+        for batch in batches:
+            for part in slices(batch):
+                blocks = part["block"].to_numpy()
+                for b in np.unique(blocks).tolist():  # rows of a block stand together
+                    if b != own and parts:
+                        yield rows(own, parts)
+                        parts = []
+                    own = b
+                    parts.append(np.unique(alphabet.value.grams(part.filter(pa.array(blocks == b))["text"].to_pylist())[0]))
+                    if sum(map(len, parts[1:])) > 1 << 20:
+                        parts = [np.unique(np.concatenate(parts))]
+        if parts:
+            yield rows(own, parts)
+
+    def rows(b: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(parts))
+        return pa.record_batch([pa.array(np.full(len(keys), b, np.int64)), pa.array(keys.view(np.int64))], ["block", "key"])
+
+    def score(part: pa.Table, logs: pa.Table) -> pa.Table:
+        keys, log10 = unsigned(logs["key"]), logs["log10"].to_numpy()
+        order = np.argsort(keys)
+        keys, log10, score = keys[order], log10[order], []
+        for batch in part.select(["text"]).combine_chunks().to_batches():
+            for some in slices(batch):
+                code, starts, others = alphabet.value.grams(some["text"].to_pylist())
+                score.append(np.add.reduceat(log10[np.searchsorted(keys, code)].astype(np.float64), starts) + others * OTHER_LOG10)
+        return part.drop_columns(["text", "block"]).append_column("score", pa.array(np.concatenate(score)))
+
+    asked = saved(heads.select("block", "text").mapInArrow(distinct_keys, "block long, key long"), "asked")
+    logs = saved(tree.log10_table(asked.select("key").distinct()), "logs")
+    met = asked.join(logs, "key").select("block", "key", "log10")
+    return heads.drop("rare", "times").groupBy("block").cogroup(met.groupBy("block")).applyInArrow(score, SCORES)
+
+
+def scored(docs: DataFrame, tree: StoredTree, unigrams: Unigrams, words: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     A null or empty text is its end alone.  Rows with a null doc_id are in the
@@ -299,18 +395,21 @@ def scored(docs: DataFrame, tree: SuffixTree, unigrams: Unigrams, words: DataFra
     matter; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((tree, unigrams))
+    shared = spark.sparkContext.broadcast(unigrams)
     unknown = math.log10(0.1 / unigrams.denominator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tree, hot = shared.value
-        row = TaskContext.get().partitionId() << 40
+        hot = shared.value
+        row = block = TaskContext.get().partitionId() << 40
+        size = 0
         log_of = np.append(np.log10((hot.counts + 0.1) / hot.denominator), 0.0)
         for batch in batches:
             for part in slices(batch):
-                texts = part["text"].to_pylist()
+                if size > BLOCK_BYTES:
+                    block, size = block + 1, 0
+                size += part["text"].nbytes
                 w = words_of(part["text"], lower=True)
                 n = np.diff(w.bounds) + 1
                 ends = w.bounds[1:]
@@ -327,8 +426,8 @@ def scored(docs: DataFrame, tree: SuffixTree, unigrams: Unigrams, words: DataFra
                     rare.append(k)
                     times.append(c)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(len(n))), part["doc_id"], part["held_out"], pa.array(n, pa.int64()), pa.array(n_known), pa.array(base), pa.array(tree.scores(texts)), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"],
+                    [pa.array(row + np.arange(len(n))), part["doc_id"], part["held_out"], pa.array(n, pa.int64()), pa.array(n_known), pa.array(base), pa.array(np.full(len(n), block)), part["text"], pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "block", "text", "rare", "times"],
                 )
                 row += len(n)
 
@@ -337,7 +436,7 @@ def scored(docs: DataFrame, tree: SuffixTree, unigrams: Unigrams, words: DataFra
     cold = words.filter(F.col("n") < unigrams.least_hot)
     met = rest.join(cold, "key").groupBy("row").agg(F.sum("times").alias("cold"), F.sum(F.col("times") * F.log10((F.col("n") + 0.1) / F.lit(unigrams.denominator))).alias("cold_base"))
     n_known = F.col("known") + F.coalesce("cold", F.lit(0))
-    return heads.drop("rare", "times").join(met, "row", "left").select(
+    return text_scores(heads, tree).join(met, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -110,3 +110,12 @@ def test_held_out_texts_score_better_than_by_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = [r for r in st.scored(docs, *st.trained(docs.filter(~st.is_held_out(docs.doc_id)))).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_contexts_stay_in_a_larger_corpus(spark, monkeypatch):
+    """Seen five times among 1.5 million symbols: kept by count and divergence, whatever the corpus."""
+    rows = [(k, "the cat sat on the mat and " * 1200) for k in range(50)] + [(k, "the quick zebra") for k in range(100, 130) if not held_out(k)][:5] + [(k, "quick zebra") for k in range(200, 260) if held_out(k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = st.scored(df, *st.trained(df.filter(~st.is_held_out(df.doc_id)))).collect()
+    monkeypatch.setattr(st, "LEAST_SHARE", 0.0)  # of the brute-force version
+    compare(rows, got)
