@@ -13,8 +13,9 @@ number, so no shard takes more than its share.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,9 @@ from .common import library_chunks, map_batches, saved, slices, widened
 
 SEQUENCE = 2048
 END_ID = 0
-#: Expected pieces of a shard, how full a bin must be not to be packed again, and the underfull bins of one search.
+#: Expected pieces of a shard, and how full a bin must be not to be packed again.
 SHARD_PIECES = 2048
 FULL_ENOUGH = 0.99
-SEARCH_BINS = 96
-SEARCH_ROUNDS = 40
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -81,19 +80,28 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, most_bins: int = SEARCH_BINS, rounds: int = SEARCH_ROUNDS) -> list[list[int]]:
-    """Exchanges between the emptiest bins that raise the sum of squared fills.
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Exchanges between all underfull bins that raise the sum of squared fills.
 
     Every step makes the fuller of two bins fuller still, by moving a piece into
     it, by taking a longer piece for a shorter one, or by taking two pieces for
     one or one for two; so the emptier one drains and goes away once it is empty.
-    The sum of squares grows with each step, so the search ends.
+    The sum of squares grows with each step, so the search ends; it ends when no
+    pair of bins gains.
     """
     fill = [int(lengths[b].sum()) for b in bins]
-    order = sorted((k for k in range(len(bins)) if fill[k] < size), key=lambda k: (fill[k], k))[:most_bins]
+    order = sorted((k for k in range(len(bins)) if fill[k] < size), key=lambda k: (fill[k], k))
     state = [0] * len(bins)  # grows as a bin changes: a pair is tried again only then
     tried: dict[tuple[int, int], tuple[int, int]] = {}
-    for _ in range(rounds):
+    kept: dict[int, Sums] = {}
+
+    def sums(k: int) -> Sums:
+        if k not in kept:
+            kept[k] = Sums.of([(int(lengths[i]), i) for i in bins[k]])
+        return kept[k]
+
+    changed = True
+    while changed:
         changed = False
         for poor in order:
             for rich in reversed(order):
@@ -103,43 +111,61 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, most_bin
                 if not room or tried.get((poor, rich)) == (state[poor], state[rich]):
                     continue
                 tried[poor, rich] = state[poor], state[rich]
-                gain, give, take = _best_step([int(lengths[i]) for i in bins[poor]], [int(lengths[i]) for i in bins[rich]], room)
+                gain, moved, back = _best_step(sums(poor), sums(rich), room)
                 if gain:
-                    moved, back = [bins[poor][i] for i in give], [bins[rich][i] for i in take]
-                    bins[poor] = [x for x in bins[poor] if x not in moved] + back
-                    bins[rich] = [x for x in bins[rich] if x not in back] + moved
+                    bins[poor] = [x for x in bins[poor] if x not in moved] + list(back)
+                    bins[rich] = [x for x in bins[rich] if x not in back] + list(moved)
                     fill[poor], fill[rich] = fill[poor] - gain, fill[rich] + gain
                     state[poor], state[rich] = state[poor] + 1, state[rich] + 1
+                    kept.pop(poor), kept.pop(rich)
                     changed = True
-            order = [k for k in order if bins[k] and fill[k] < size]
-        order.sort(key=lambda k: (fill[k], k))
-        if not changed:
-            break
+        order = sorted((k for k in order if bins[k] and fill[k] < size), key=lambda k: (fill[k], k))
     return [b for b in bins if b]
 
 
-def _best_step(poor: list[int], rich: list[int], room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
-    """The step that fills `room` best: (gain of the rich bin, indices it gets, indices it gives back)."""
+@dataclass(frozen=True)
+class Sums:
+    """Of a bin: the sorted different lengths of one piece and of two, and pieces that have them.
+
+    Pieces of one length can stand for each other.  A bin of 2,048 has at most 63
+    different lengths, so there are at most 2,047 sums of two.
+    """
+
+    ones: list[int]
+    one: list[tuple[int, ...]]
+    twos: list[int]
+    two: list[tuple[int, ...]]
+
+    @classmethod
+    def of(cls, pieces: list[tuple[int, int]]) -> Sums:
+        by_length: dict[int, list[int]] = {}
+        for n, i in sorted(pieces):
+            by_length.setdefault(n, []).append(i)
+        ones = list(by_length)
+        two: dict[int, tuple[int, ...]] = {}
+        for k, n in enumerate(ones):
+            if len(same := by_length[n]) > 1:
+                two.setdefault(2 * n, (same[0], same[1]))
+            for m in ones[:k]:
+                two.setdefault(n + m, (same[0], by_length[m][0]))
+        twos = sorted(two)
+        return cls(ones, [(by_length[n][0],) for n in ones], twos, [two[n] for n in twos])
+
+
+def _best_step(poor: Sums, rich: Sums, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+    """The step that fills `room` best: (gain of the rich bin, pieces it gets, pieces it gives back)."""
     best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
-    back = sorted((n, (i,)) for i, n in enumerate(rich))
-    pairs = sorted((rich[i] + rich[j], (i, j)) for i in range(len(rich)) for j in range(i)) if len(rich) <= 24 else []
-    sums = [n for n, _ in back]
-    pair_sums = [n for n, _ in pairs]
-
-    def offer(got: int, give: tuple[int, ...], two: bool) -> None:
-        nonlocal best
-        if best[0] < got <= room:
-            best = got, give, ()
-        for known, places in ((sums, back), *(((pair_sums, pairs),) if two else ())):
+    swaps = ((poor.ones, poor.one, rich.ones, rich.one), (poor.ones, poor.one, rich.twos, rich.two), (poor.twos, poor.two, rich.ones, rich.one))
+    for lengths, pieces in ((poor.ones, poor.one), (poor.twos, poor.two)):
+        if (k := bisect_right(lengths, room)) and lengths[k - 1] > best[0]:
+            best = lengths[k - 1], pieces[k - 1], ()
+    for given, give, known, back in swaps:
+        for got, which in zip(given, give, strict=True):
+            if best[0] == room:
+                return best
             k = bisect_left(known, got - room)  # least return with which it still fits
             if k < len(known) and best[0] < (gain := got - known[k]):
-                best = gain, give, places[k][1]
-
-    for i, n in enumerate(poor):
-        offer(n, (i,), two=True)
-        if len(poor) <= 24:
-            for j in range(i):
-                offer(n + poor[j], (i, j), two=False)
+                best = gain, which, back[k]
     return best
 
 

@@ -42,6 +42,12 @@ def test_local_search_never_lowers_the_squares():
         assert sorted(i for b in end for i in b) == list(range(60)) and all(lengths[b].sum() <= 100 for b in end)
 
 
+def test_every_underfull_bin_is_searched():
+    lengths = np.array([*[70] * 120, 60, 35, 55, 40])  # 120 emptier bins can't help; {60, 40} fills one of the last two
+    bins = packing.local_search([*([i] for i in range(120)), [120, 121], [122, 123]], lengths, 100)
+    assert max(int(lengths[b].sum()) for b in bins) == 100
+
+
 def test_pieces_and_places(spark, small):
     docs = small("documents").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id"), (-1, None), (-2, ""), (-3, "word " * 5000), (-3, "word " * 5000)], "doc_id long, text string"))
     got = packing.pack_documents(docs, VOCABULARY, with_ids=True).collect()
