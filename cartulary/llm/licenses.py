@@ -24,7 +24,7 @@ from .common import table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A text without any of these has no detection; every rule's keyword holds one.
-ANCHORS = ("licen", "copyright", "spdx", "gpl", " cc by ", " cc0 ", "creative commons", "public domain", "permission is", "redistribution", "rights reserved", "free software", "warranty")
+ANCHORS = ("licen", "copyright", "spdx", "gpl", " cc by ", " cc0 ", "creative commons", "public domain", "permission is", "permission to", "written permission", "copy modify and or distribute", "redistribution", "rights reserved", "free software", "warranty")
 PRIORITIES = 4
 
 
@@ -109,9 +109,9 @@ MENTIONS = (
 NOTICES = (
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 0.9),
     ("mit", "warranty of any kind express or implied", r"the software is provided as is without warranty of any kind express or implied", 0.7),
-    ("isc", "permission is", r"permission (?:is hereby granted )?to use copy modify and or distribute this software", 0.85),
+    ("isc", "copy modify and or distribute", r"permission (?:is hereby granted )?to use copy modify and or distribute this software", 0.85),
     ("bsd", "redistribution", r"redistributions? and use in source and binary forms with or without modification", 0.9),
-    ("bsd-3", "prior written permission is", r"neither the name of [^.]{1,80} without specific prior written permission is", 0.8),
+    ("bsd-3", "without specific prior written permission", r"neither the names? of [^.]{1,300}? without specific prior written permission", 0.8),
     ("gpl", "free software", r"this program is free software you can redistribute it and or modify it", 0.85),
     ("lgpl", "free software", r"this library is free software you can redistribute it and or modify it", 0.85),
     ("gpl", "without any warranty", r"distributed in the hope that it will be useful but without any warranty", 0.7),

@@ -73,3 +73,28 @@ def test_query(spark, small):
     out = licenses.op2(spark, small.dir)
     assert not re.search("Python|Arrow|Pandas|Exchange", out._jdf.queryExecution().executedPlan().toString())
     assert rows_of(out) == sorted(((False, r.doc_id, *brute(r.text, rules)) for r in small("documents").collect()), key=str)
+
+
+NOTICES = {
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice appears in all copies.",
+    "bsd-3": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "boost-1": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms",
+    "apache-2": "you may not use this file except in compliance with the License.",
+    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+}
+
+
+def test_notices_pass_their_gates(spark):
+    rows = list(enumerate(NOTICES.items()))
+    df = spark.createDataFrame([(k, text) for k, (_, text) in rows], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scanned(df).collect()}
+    for k, (label, text) in rows:
+        assert label in got[k], (label, got[k])
+        words = f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', text.lower()))} "
+        for r in licenses.rules():
+            assert not re.search(f"(?<= ){r.pattern}(?= )", words) or r.keyword in words, r
