@@ -4,9 +4,9 @@ No pre-token of the vocabularies used here runs over a place where a space or li
 feed follows a character that isn't white space, or where one of ``. , ; : ! ?``
 follows an ASCII letter or digit.  A text therefore encodes to the concatenation
 of what its pieces encode to, if it is cut only there.  Natural text repeats its
-pieces: the texts of a batch are cut and their pieces told apart by vectorised
-64-bit hashes, and the tokenizer sees only pieces that the cache doesn't hold.
-Two of a cache's three million pieces share a hash with a chance of 1 in 4 million.
+pieces: the texts of a batch are cut, equal pieces are found by vectorised hashes
+and then held to each other byte by byte, and the tokenizer sees only pieces whose
+bytes the cache doesn't hold.  No token rests on a hash alone.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from .words import span_hashes
+from .words import same_spans, span_hashes
 
-#: Bytes of text that are cut at once, and pieces kept by one worker.
+#: Bytes of text that are cut at once, and bytes that one generation of a cache takes about.
 BATCH_BYTES = 3 << 20
-CACHE_PIECES = 3_000_000
+CACHE_BYTES = 24 << 20
+#: What an entry takes besides its contents: two objects and their place in the table.
+ENTRY_BYTES = 160
 
 
 def _table(*parts: bytes | range) -> np.ndarray:
@@ -53,37 +55,49 @@ def starts_of(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
-class ChunkEncoder:
-    """encode_many: strings to their ids, each as unsigned 16-bit little-endian bytes.
+class PieceCache:
+    """Bytes of pieces to their ids, in two generations of about `limit` bytes each.
 
-    The cache is emptied when it holds more than `limit` pieces, so memory stays
-    bounded however many different pieces there are.
+    When the young generation is full it becomes the old one, and the old one
+    goes; pieces met again are young again.  So memory is bounded however many
+    different pieces there are, and frequent pieces stay.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES):
-        self.encode_many, self.limit = encode_many, limit
-        self._empty()
-
-    def _empty(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint16)
-
-    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.keys, keys)
-        there = at < len(self.keys)
-        there[there] = self.keys[at[there]] == keys[there]
-        return at, there
-
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        got = self.encode_many(pieces)
-        size = np.array([len(x) // 2 for x in got], np.int64)
-        first = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), np.uint16)])
-        self.keys = np.concatenate([self.keys, keys])
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.first, self.size = np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
+    def __init__(self, limit: int = CACHE_BYTES):
+        self.limit, self.held = limit, 0
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, pieces: list[bytes], encode_many: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        """The ids of each piece; pieces that aren't known are encoded together."""
+        got = list(map(self.young.get, pieces))
+        if missing := [k for k, x in enumerate(got) if x is None]:
+            for k in missing:
+                got[k] = self.old.get(pieces[k])
+            unknown = [k for k in missing if got[k] is None]
+            for k, x in zip(unknown, encode_many([pieces[k] for k in unknown]), strict=True):
+                got[k] = x
+            for k in missing:
+                self.keep(pieces[k], got[k])
+        return got
+
+    def keep(self, piece: bytes, ids: bytes) -> None:
+        size = len(piece) + len(ids) + ENTRY_BYTES
+        if self.held + size > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
+        if size <= self.limit:
+            self.young[piece] = ids
+            self.held += size
+
+
+class ChunkEncoder:
+    """encode_many: strings to their ids, each as unsigned 16-bit little-endian bytes."""
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = CACHE_BYTES):
+        self.encode_many, self.cache = encode_many, PieceCache(limit)
+
+    def _decoded(self, pieces: list[bytes]) -> list[bytes]:
+        return self.encode_many([p.decode() for p in pieces])
 
     def _some(self, texts: list[bytes]) -> Iterator[bytes]:
         raw = b"".join(texts)
@@ -91,20 +105,21 @@ class ChunkEncoder:
         if not raw:
             yield from (b"" for _ in texts)
             return
-        if len(self.keys) > self.limit:
-            self._empty()
         data = np.frombuffer(raw, np.uint8)
         starts = starts_of(data, begins)
         ends = np.append(starts[1:], len(data))
-        keys, example, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        missing = np.flatnonzero(~self._known(keys)[1])
-        if len(missing):
-            some = example[missing]
-            self._learn(keys[missing], [raw[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
-        at = self._known(keys)[0][which]
-        size = self.size[at]
+        _, example, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        first = example[which]
+        same = (ends - starts == ends[first] - starts[first]) & same_spans(data, starts, starts[first], np.minimum(ends - starts, ends[first] - starts[first]))
+        odd = np.flatnonzero(~same)  # pieces that share their hash with another: each counts as a piece of its own
+        which[odd] = len(example) + np.arange(len(odd))
+        some = np.concatenate([example, odd])
+        got = self.cache.of([raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], self._decoded)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 2
+        firsts = np.cumsum(sizes) - sizes
+        size = sizes[which]
         until = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.first[at] - until[:-1], size) + np.arange(until[-1])].tobytes()
+        ids = np.frombuffer(b"".join(got), np.uint16)[np.repeat(firsts[which] - until[:-1], size) + np.arange(until[-1])].tobytes()
         cuts = (2 * until[np.searchsorted(starts, begins)]).tolist()
         yield from (ids[a:b] for a, b in zip(cuts, cuts[1:]))
 

@@ -95,13 +95,12 @@ def little_endian(ids: list[int], code: str) -> bytes:
     return array(code, ids).tobytes()
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def library_encoder(path: str):
     """strings -> ids as unsigned little-endian bytes (16 bits a token), by the tokenizers library."""
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
+    tok = Tokenizer.from_file(path)  # as it is: the string of a special token in a text is that token
     if tok.get_vocab_size() > 1 << 16:
         raise ValueError("a vocabulary of more than 65,536 ids doesn't fit 16 bits")
 
@@ -138,7 +137,7 @@ def byte_characters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + k for k, b in enumerate(others)}
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def library_chunks(path: str):
     """One chunk cache for each worker process, kept over its tasks."""
     from .chunks import ChunkEncoder

@@ -20,19 +20,51 @@ def library():
     return tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_monoid_and_chunks_agree_with_the_library(library):
-    bpe, chunks = byte_bpe.loaded(RANKS, p.PATTERN)
+def test_the_monoid_agrees_with_the_library(library):
+    bpe = byte_bpe.loaded(RANKS, p.PATTERN)
     rng = random.Random(5)
     texts = ODD + ["".join(rng.choice("abeinorst éñ,.\n 'AZ09çü|=") for _ in range(rng.randrange(1, 400))) for _ in range(300)]
-    for text, packed in zip(texts, chunks.encode(texts), strict=True):
+    texts += ["".join(rng.choice(["'", "l", "s", " ", "\n", "a", "1", ".", "\u3000", "''", "ve"]) for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+    for text in texts:
         want = library.encode_ordinary(text)
-        assert bpe.encode(text) == want, text
-        assert np.frombuffer(packed, "<u2").tolist() == want, text
+        for leaf in (1, 2, 3, 7, byte_bpe.LEAF_CHARS):
+            assert np.frombuffer(b"".join(bpe.encoded(text, leaf).ids), "<u2").tolist() == want, (text, leaf)
+        assert np.frombuffer(bpe.encode(text), "<u2").tolist() == want, text
         assert bpe.decode(want) == text.encode()
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_thue_morse_words(library, n):
+    bpe = byte_bpe.loaded(RANKS, p.PATTERN)
+    word = thue_morse(n)
+    for text in (word, word.translate(str.maketrans("ab", "ba")), f"{word} {word[::-1]}"):
+        assert np.frombuffer(bpe.encode(text), "<u2").tolist() == library.encode_ordinary(text)
+
+
+def test_a_long_text_without_spaces(library):
+    text = "".join(random.Random(4).choice("abcdefgh") for _ in range(1 << 20))
+    bpe = byte_bpe.loaded(RANKS, p.PATTERN)
+    got = np.frombuffer(bpe.encode(text), "<u2").tolist()
+    assert bpe.decode(got) == text.encode()
+    pairs = set(zip(got, got[1:]))  # a sequence whose adjacent pairs all stay is the encoding of its bytes
+    assert all(bpe.stays(a, b) for a, b in pairs)
+    assert np.frombuffer(bpe.encode(text[:20000]), "<u2").tolist() == library.encode_ordinary(text[:20000])
+
+
+def test_little_memory_gives_the_same(library):
+    bpe = byte_bpe.ByteBpe(byte_bpe.loaded(RANKS, p.PATTERN).ranks, p.PATTERN)
+    bpe.known.limit = 3000
+    for text in [" ".join(f"w{k * j}" for j in range(40)) for k in range(100)]:
+        assert np.frombuffer(bpe.encode(text), "<u2").tolist() == library.encode_ordinary(text)
+    assert len(bpe.known) < 100 and len(bpe.known.old) < 100
+
+
 def test_join_is_the_encoding_of_the_concatenation(library):
-    bpe = byte_bpe.loaded(RANKS, p.PATTERN)[0]
+    bpe = byte_bpe.loaded(RANKS, p.PATTERN)
     rng = random.Random(6)
     for _ in range(400):
         raw = bytes(rng.choice(b"aeinrstthe") for _ in range(rng.randrange(2, 60)))

@@ -12,7 +12,6 @@ VOCABULARY = p.path("word_bpe_49k.json")
 
 def library_ids(text):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, token_files.END_ID]
 
 
