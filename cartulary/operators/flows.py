@@ -50,9 +50,19 @@ def top_contributors(flows: DataFrame) -> DataFrame:
     return sums.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def summary(flows: DataFrame) -> DataFrame:
-    """One row: amount, flows, mean amount, places, and what stays inside a place."""
+def summary(flows: DataFrame, shown: int | None = None) -> DataFrame:
+    """One row: amount, flows, mean amount, places, and what stays inside a place; all from the sums of pairs.
+
+    `shown` adds how many of the largest pairs are shown and what they amount to.
+    """
+    sums = flows.groupBy("origin", "destination").agg(F.sum("amount").alias("amount"), F.count("*").alias("n_flows"))
     inside = F.col("origin") == F.col("destination")
-    sums = flows.agg(total("amount"), F.count("*").alias("n_flows"), F.sum(F.when(inside, F.col("amount"))).cast("double").alias("internal_amount"), F.count(F.when(inside, 1)).alias("n_internal"))
-    places = flows.select(F.col("origin").alias("place")).union(flows.select("destination")).distinct().agg(F.count("*").alias("n_places"))
-    return sums.crossJoin(F.broadcast(places)).withColumn("mean_amount", F.round(F.try_divide("amount", "n_flows"), 6))
+    if shown is not None:
+        largest = sums.orderBy(F.desc_nulls_last("amount"), "origin", "destination").limit(shown).agg(F.count("*").alias("n_shown"), total("shown_amount"))
+    end = lambda place, counts: F.struct(F.col(place).alias("place"), *(F.when(F.lit(counts), c).alias(n) for n, c in (("amount", F.col("amount")), ("n", F.col("n_flows")), ("own", F.when(inside, F.col("amount"))), ("n_own", F.when(inside, F.col("n_flows"))))))
+    ends = sums.select(F.explode(F.array(end("origin", True), end("destination", False))).alias("e")).select("e.*")
+    by_place = ends.groupBy("place").agg(*(F.sum(c).alias(c) for c in ("amount", "n", "own", "n_own")))
+    none = F.lit(0).cast("long")
+    out = by_place.agg(total("amount"), F.coalesce(F.sum("n"), none).alias("n_flows"), F.sum("own").cast("double").alias("internal_amount"), F.coalesce(F.sum("n_own"), none).alias("n_internal"), F.count("*").alias("n_places"))
+    out = out.withColumn("mean_amount", F.round(F.try_divide("amount", "n_flows"), 6))
+    return out if shown is None else out.crossJoin(F.broadcast(largest))  # of one row each

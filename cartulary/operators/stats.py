@@ -2,8 +2,9 @@
 
 Ranks over a whole column need all its rows in order.  Where a column may be long,
 ``ranked`` numbers rows without a single-task window: rows are range-partitioned
-by the order, each partition is numbered, and the partitions' sizes, one row each,
-give the offsets.
+and sorted once, each takes its place within its partition, and that is stored.
+The stored partitions' sizes, one row each, give the offsets, so places and offsets
+always come from one and the same partitioning.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import saved
+
 
 def top(df: DataFrame, measure: str, key: str, k: int, largest: bool = True) -> DataFrame:
     """The k rows with the largest (or smallest) measure; nulls last, ties by key."""
@@ -20,16 +23,22 @@ def top(df: DataFrame, measure: str, key: str, k: int, largest: bool = True) ->
     return df.orderBy(order, F.asc_nulls_last(key)).limit(k)
 
 
+def in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df stored in order, with __part (a range of the order; ties may be split) and __place (from 1 within it)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1  # the id holds the partition's number over 33 bits of the row's
+    return saved(dealt.select(*df.columns, F.shiftright("__at", 33).alias("__part"), place.alias("__place")), name)
+
+
 def ranked(df: DataFrame, measure: str, key: str, name: str = "rank", largest: bool = True) -> DataFrame:
-    """Every row with its place from 1; nulls last, ties by key."""
+    """Every row, whatever its further columns, with its place from 1; nulls last, ties by key."""
     order = [F.desc_nulls_last(measure) if largest else F.asc_nulls_last(measure), F.asc_nulls_last(key)]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    numbered = dealt.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = numbered.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each partition
+    placed = in_order(df, order, "ranked")
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each partition
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__part", before.alias("__before"))
-    return numbered.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__place")).cast("long")).drop("__part", "__place", "__before")
+    return placed.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__place")).cast("long")).drop("__part", "__place", "__before")
 
 
 def class_breaks(df: DataFrame, value: str, rule: str, classes: int = 5) -> DataFrame:
@@ -47,9 +56,10 @@ def class_breaks(df: DataFrame, value: str, rule: str, classes: int = 5) -> Data
 
 def classed(df: DataFrame, value: str, rule: str, name: str = "quintile", classes: int = 5) -> DataFrame:
     """Rows with the class of their value: the first break it is below, else the last class."""
-    breaks = class_breaks(df, value, rule, classes)
+    rows = saved(df.filter(F.col(value).isNotNull()), "classed")  # read again for the breaks
+    breaks = class_breaks(rows, value, rule, classes)
     steps = reduce(lambda rest, s: F.when(F.col(value) < F.col(f"b{s}"), s).otherwise(rest), reversed(range(1, classes)), F.lit(classes))
-    return df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(breaks)).withColumn(name, steps.cast("long")).drop(*(f"b{s}" for s in range(1, classes)))
+    return rows.crossJoin(F.broadcast(breaks)).withColumn(name, steps.cast("long")).drop(*(f"b{s}" for s in range(1, classes)))
 
 
 def summary(df: DataFrame, value: str) -> DataFrame:
@@ -87,11 +97,20 @@ def last_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
     """Each left row with the values of the key's last right row at or before its time.
 
-    One shuffle by key: both sides are put in one order and the last right values
-    are carried on.  Keys must have a bounded number of rows each.
+    Both sides are put in one order of key and time over ranges of about equal
+    size, so a key with many rows takes as many ranges as it needs.  Within a range
+    the last right values are carried on; a range that begins within a key takes
+    what the ranges before it end with, one row for each key and range.  Rows with a
+    null key or time find nothing.
     """
     a = left.withColumn("__left", F.lit(1))
-    b = right.select(key, time, F.struct(*values).alias("__right")).withColumn("__left", F.lit(0))
-    w = Window.partitionBy(key).orderBy(time, "__left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__right", ignorenulls=True).over(w))
-    return both.filter("__left = 1").select(*left.columns, *(F.col(f"__last.{v}").alias(v) for v in values))
+    b = right.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, F.struct(*values).alias("__right")).withColumn("__left", F.lit(0))
+    rows = in_order(a.unionByName(b, allowMissingColumns=True), [F.asc(key), F.asc(time), F.asc("__left")], "as_of")
+    own = Window.partitionBy(key, "__part")
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(key, "__part").agg(F.max_by("__right", F.when(F.col("__left") == 0, F.col("__place"))).alias("__end"))
+    carried = ends.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).select(F.col(key).alias("__key"), F.col("__part").alias("__in"), "__carried")
+    within = rows.withColumn("__last", F.last("__right", ignorenulls=True).over(own.orderBy("__place").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = within.filter("__left = 1").join(carried, (F.col(key) == F.col("__key")) & (F.col("__part") == F.col("__in")), "left")
+    last = F.when(F.col(time).isNotNull(), F.coalesce("__last", "__carried"))
+    return found.withColumn("__found", last).select(*left.columns, *(F.col(f"__found.{v}").alias(v) for v in values))

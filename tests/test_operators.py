@@ -2,7 +2,9 @@ import json
 import math
 import random
 
+import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartulary.functions import text
@@ -31,6 +33,25 @@ def test_ranked_has_no_gaps_and_nulls_last(spark):
     assert [(g[1], g[2]) for g in got] == [(w[3], w[2]) for w in want] and [g[0] for g in got] == list(range(1, 201))
 
 
+def test_ranked_with_further_columns(spark):
+    n = 400_000
+    df = spark.range(n, numPartitions=6).select("id", (F.hash("id") % 1000).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("label"))
+    w = Window.orderBy(F.desc_nulls_last("v"), "id")
+    both = stats.ranked(df, "v", "id").join(df.select("id", F.col("label").alias("own"), F.row_number().over(w).alias("want")), "id")
+    assert both.count() == n and both.filter("rank <> want or label <> own").count() == 0
+
+
+def test_as_of_with_a_hot_key(spark):
+    rows = spark.range(40_000, numPartitions=5)
+    key = F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).cast("int").alias("k")
+    left = rows.select("id", key, (F.hash("id") % 9000).alias("t"))
+    right = rows.filter("id % 4 = 0").select(key, (F.hash(F.col("id") + 1) % 9000).alias("t"), F.col("id").alias("v")).groupBy("k", "t").agg(F.max("v").alias("v"))
+    got = {r.id: r.v for r in stats.as_of(left, right, "k", "t", ["v"]).collect()}
+    a, b = left.toPandas().sort_values("t"), right.toPandas().sort_values("t")
+    want = pd.merge_asof(a, b, on="t", by="k")
+    assert len(got) == 40_000 and got == {int(i): None if pd.isna(v) else int(v) for i, v in zip(want["id"], want["v"], strict=True)}
+
+
 def test_as_of(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9), ("c", 3)], "k string, t int")
     right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("b", 10, 1)], "k string, t int, v int")
@@ -49,6 +70,12 @@ def test_flow_summary_without_rows(spark):
     assert (r.amount, r.n_flows, r.n_places, r.mean_amount) == (None, 0, 0, None)
 
 
+def test_flow_summary_with_the_flows_shown(spark):
+    df = spark.createDataFrame([("a", "b", 5), ("a", "a", 3), ("c", "a", 1), ("a", "b", 2)], "origin string, destination string, amount int").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    r = flows.summary(df, shown=2).first()
+    assert (r.amount, r.n_flows, r.internal_amount, r.n_internal, r.n_places, r.n_shown, r.shown_amount) == (11.0, 4, 3.0, 1, 3, 2, 10.0)
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(text.normalized(F.lit("  St. Mary's -- County! "))) == "st mary s county"
