@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ class Metric:
 class Table:
     name: str
     family: str
-    build: Callable[[SparkSession, str], DataFrame]
+    build: Callable[[SparkSession, str, str | None], DataFrame]  # of one period, or of all
     dimensions: tuple[str, ...]
     metrics: tuple[Metric, ...]
     grain: str
@@ -51,19 +52,26 @@ class Table:
 _REVENUE = Metric("revenue", "dollars", "sum", "Revenue", ("sales", "spending"))
 
 
-def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _accounts(spark: SparkSession, sf_dir: str, period: str | None = None) -> DataFrame:
     rows = marts.accounts(spark, sf_dir)
     ratio = F.round(F.try_divide(F.col("debits"), F.col("credits")), 6)
     return rows.withColumn("debit_ratio", ratio).withColumn("balance_per_customer", F.round(F.try_divide(F.col("balance"), F.col("customers")), 6))
 
 
+def _flows(spark: SparkSession, sf_dir: str, period: str | None = None) -> DataFrame:
+    return marts.flows(spark, sf_dir, marts.years_of_period(period))
+
+
+#: Dimensions that name places, and the level of each on a map.
+PLACES = {"nation": "nation", "region": "region", "origin": "nation", "destination": "nation"}
+
 TABLES = {
     t.name: t
     for t in (
         Table("spending_nation", "spending", marts.spending, ("nation", "region"), (_REVENUE, Metric("quantity", "count", "sum", "Quantity"), Metric("items", "count", "sum", "Line items", ("lines",))), "nation", "period", "2000", ("revenue", "sales")),
         Table("spending_nation_brand", "spending", marts.spending_by_brand, ("nation", "brand"), (_REVENUE,), "nation by brand", "period", "2000", ("brand", "brands")),
         Table("accounts_nation", "accounts", _accounts, ("nation", "region"), (Metric("customers", "count", "sum", "Customers"), Metric("credits", "dollars", "sum", "Credits"), Metric("debits", "dollars", "sum", "Debits"), Metric("balance", "dollars", "sum", "Balance"), Metric("debit_ratio", "ratio", "avg", "Debit ratio", ("debt",)), Metric("balance_per_customer", "dollars", "avg", "Balance per customer", ("per capita",))), "nation", synonyms=("account", "balance")),
-        Table("flow_nation", "flow", marts.flows, ("origin", "destination", "brand"), (Metric("amount", "dollars", "sum", "Amount"),), "line item", "year", None, ("flow", "flows", "inflow", "outflow")),
+        Table("flow_nation", "flow", _flows, ("origin", "destination", "brand"), (Metric("amount", "dollars", "sum", "Amount"),), "line item", "year", None, ("flow", "flows", "inflow", "outflow")),
     )
 }
 
@@ -79,10 +87,13 @@ def join_key(left: str, right: str) -> tuple[str, str]:
     raise ValueError(f"{left} and {right} have no common key")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with what its columns mean as metadata, and its text dimensions in one case as *_norm."""
+def load(spark: SparkSession, sf_dir: str, name: str, period: str | None = None) -> DataFrame:
+    """A table with what its columns mean as metadata, and its text dimensions in one case as *_norm.
+
+    With a `period` only what that period can hold is read; callers still filter by it.
+    """
     t = TABLES[name]
-    df = t.build(spark, sf_dir)
+    df = t.build(spark, sf_dir, period)
     about: dict[str, dict] = {d: {"role": "dimension"} for d in t.dimensions} | {m.name: {"role": "metric", "unit": m.unit, "agg": m.aggregation} for m in t.metrics}
     if t.period:
         about[t.period] = {"role": "period", "default": t.default_period or ""}
@@ -96,6 +107,12 @@ def listing(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, name string, grain string, n_columns int, default_period string")
 
 
+def total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, n_rows of every table, and of all together (name null)."""
+    counts = [load(spark, sf_dir, name).agg(F.lit(name).alias("name"), F.count("*").alias("n_rows")) for name in TABLES]
+    return reduce(DataFrame.unionByName, counts).rollup("name").agg(F.sum("n_rows").alias("n_rows"))
+
+
 @dataclass(frozen=True)
 class Audit:
     missing: dict[str, list[str]] = field(default_factory=dict)  # stated, not there

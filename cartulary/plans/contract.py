@@ -13,10 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import stats
-from .catalog import TABLES, join_key, load
+from ..operators import flows, stats
+from .catalog import TABLES, join_key, listing, load
 
-OPERATIONS = ("lookup", "ranking", "compare", "trend", "cross_metric", "breakout", "summary", "values")
+OPERATIONS = ("lookup", "ranking", "compare", "trend", "cross_metric", "breakout", "summary", "values", "flow_pair_total", "flow_share", "metadata_answer")
+#: Rows that "values" gives unless a limit or page asks for others: a bound for callers outside Spark.
+VALUES_ROWS = 5000
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,9 @@ class Contract:
     other_table: str | None = None
     other_metric: str | None = None
     limit: int | None = None
+    offset: int | None = None  # rows that pages before have shown
     largest: bool | None = None
+    carry: tuple[str, ...] | None = None  # further dimensions that "values" shows
 
     def merge(self, before: Contract) -> Contract:
         """This contract, with what it leaves open taken from the one before."""
@@ -65,7 +69,7 @@ def rows_of(spark: SparkSession, sf_dir: str, table: str, contract: Contract, by
         tests.append(F.col(f"{dimension}_norm") == value.strip().upper())
     if by_period and (p := periods(table, contract)) is not None:
         tests.append(p)
-    df = load(spark, sf_dir, table)
+    df = load(spark, sf_dir, table, (contract.period or TABLES[table].default_period) if by_period else None)
     return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
@@ -74,6 +78,8 @@ def compiled(spark: SparkSession, sf_dir: str, contract: Contract) -> DataFrame:
     c = contract
     if c.operation not in OPERATIONS:
         raise ValueError(f"no such operation: {c.operation}")
+    if c.operation == "metadata_answer":
+        return listing(spark)
     if c.table not in TABLES:
         raise KeyError(f"no such table: {c.table}")
     t = TABLES[c.table]
@@ -95,11 +101,20 @@ def compiled(spark: SparkSession, sf_dir: str, contract: Contract) -> DataFrame:
         a = rows_of(spark, sf_dir, c.table, c).select(label, F.col(f"{left}_norm").alias("key"), F.col(metric.name).alias("value"))
         b = rows_of(spark, sf_dir, c.other_table, Contract(period=c.period)).select(F.col(f"{right}_norm").alias("key"), F.col(other.name).alias("other_value"))
         return a.join(b, "key").select("label", "value", "other_value")
+    if c.operation.startswith("flow_") and not {"origin", "destination"} <= set(t.dimensions):
+        raise ValueError(f"{c.table} has no flows")
     rows = rows_of(spark, sf_dir, c.table, c)
     if c.operation == "summary":
         return stats.summary(rows, metric.name)
     if c.operation == "values":
-        return rows.select(label, F.col(metric.name).alias("value")).orderBy("label").limit(c.limit or 5000)
+        if unknown := set(c.carry or ()) - set(t.dimensions):
+            raise KeyError(f"{c.table} has no dimensions {sorted(unknown)}")
+        rows = rows.select(label, F.col(metric.name).alias("value"), *(c.carry or ())).orderBy("label", *(c.carry or ()), "value")
+        return rows.offset(c.offset or 0).limit(c.limit or VALUES_ROWS)
+    if c.operation == "flow_pair_total":
+        return flows.pairs(rows)
+    if c.operation == "flow_share":
+        return flows.shares(rows)
     if c.operation == "lookup":
         return rows.groupBy(label).agg(total)
     if c.operation == "compare":

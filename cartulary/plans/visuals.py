@@ -1,137 +1,147 @@
-"""Charts and maps that suit a result: functions of a question and bounded rows."""
+"""Charts and maps for a contract's rows.
+
+What is drawn follows from the contract's operation and from what the catalog says
+of its table: which dimension rows are about, whether that names places, and the
+metric's unit.  Neither the question's words nor the columns' names are guessed at.
+"""
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 from typing import Any
 
-Rows = list[dict[str, Any]]
-
-# Columns that aren't measures, columns that name places, and kinds of maps.
-PLACES = ("county", "cd_118", "state", "nation", "region", "origin", "destination")
-NOT_MEASURES = {"Year", "year", "period", "act_dt_fis_yr", "rank", "fips", "label"}
-YEARS = ("Year", "year", "period", "act_dt_fis_yr")
-LEVELS = {"cd_118": "congress", "county": "county", "state": "state", "nation": "nation", "region": "region"}
-PLOTTED, FEW, MANY, BINS = 25, 8, 30, 20
+from .catalog import PLACES, TABLES, Metric
+from .contract import Contract
 
+Rows = list[dict[str, Any]]
 
-def asks_trend(question: str) -> bool:
-    return bool(re.search(r"(?i)\b(?:trend|over time|by year|each year|over the years)\b", question))
+#: How an axis shows each unit.
+FORMATS = {"dollars": "$,.3s", "count": ",d", "share": ".1%", "ratio": ".3f"}
+#: Steps of a distribution, and rows that a chart of names shows.
+BINS, NAMED = 20, 25
 
 
-def asks_comparison(question: str) -> bool:
-    return bool(re.search(r"(?i)\b(?:compare|vs|versus|between)\b", question))
+@dataclass(frozen=True)
+class Subject:
+    """What the rows of a contract are about."""
 
+    contract: Contract
+    metric: Metric
+    other: Metric | None
+    entity: str
+    level: str | None  # of the places on a map that rows are about
 
-def asks_distribution(question: str) -> bool:
-    return bool(re.search(r"(?i)distribut|histogram|spread|variation|range of", question))
+    @classmethod
+    def of(cls, c: Contract) -> Subject | None:
+        if c.table not in TABLES:
+            return None
+        t = TABLES[c.table]
+        taken = {d for d, _ in c.where or ()}
+        entity = c.entity or next((d for d in (reversed(t.dimensions) if c.operation == "breakout" else t.dimensions) if d not in taken), t.dimensions[0])
+        other = TABLES[c.other_table].metric(c.other_metric) if c.operation == "cross_metric" else None
+        return cls(c, t.metric(c.metric or t.metrics[0].name), other, entity, None if c.operation in ("trend", "summary") else PLACES.get(entity))
 
 
 def is_number(x: Any) -> bool:
     return isinstance(x, (int, float)) and not isinstance(x, bool) and x == x
 
 
-def measures(rows: Rows) -> list[str]:
-    """Columns of which at least half of what isn't null is a number."""
-    out = []
-    for c in rows[0] if rows else ():
-        some = [r[c] for r in rows if r.get(c) is not None]
-        if c not in NOT_MEASURES and some and 2 * sum(map(is_number, some)) >= len(some):
-            out.append(c)
-    return out
+def _value(metric: Metric, field: str = "value") -> dict:
+    return {"field": field, "type": "quantitative", "title": metric.label or metric.name, "axis": {"format": FORMATS[metric.unit]}}
 
 
-def label_column(rows: Rows) -> str | None:
-    text = [c for c in rows[0] if any(isinstance(r.get(c), str) for r in rows)]
-    return next((c for c in (*PLACES, "agency", "brand", "label") if c in text), text[0] if text else None)
+def _name(field: str, kind: str = "nominal", **more: Any) -> dict:
+    return {"field": field, "type": kind, **more}
 
 
-def chart(kind: str, title: str, values: list[dict], x: dict, y: dict, **more: Any) -> dict:
-    return {"title": title, "kind": kind, "spec": {"data": {"values": values}, "mark": {"type": "line" if kind == "trend" else "bar"}, "encoding": {"x": x, "y": y, **more}}}
+def _line(s: Subject) -> tuple[str, dict]:
+    return "line", {"x": _name("label", "ordinal"), "y": _value(s.metric)}
 
 
-def charts(question: str, rows: Rows) -> list[dict]:
-    """One chart, or none: a trend over years, a distribution, a comparison of few, else a ranking.
+def _bars(s: Subject) -> tuple[str, dict]:
+    return "bar", {"x": _value(s.metric), "y": _name("label", sort="x" if s.contract.largest is False else "-x")}
 
-    A distribution is over all rows, the others over the first PLOTTED.
-    """
-    if len(rows) < 2 or not (found := measures(rows)):
-        return []
-    measure = found[0]
-    name = measure.replace("_", " ")
-    year = next((c for c in YEARS if c in rows[0]), None)
-    value = {"field": "value", "type": "quantitative"}
-    points = [r for r in rows if is_number(r.get(measure))]
-    if year and len({r[year] for r in points}) >= 2:
-        return [chart("trend", f"{name} over time", [{"year": str(r[year]), "value": r[measure]} for r in points], {"field": "year", "type": "ordinal"}, value)]
-    label = label_column(rows)
-    if label is None or len(points) < 2:
-        return []
-    if asks_distribution(question) or len(points) > MANY:
-        return [chart("distribution", f"Distribution of {name}", [{"value": r[measure]} for r in points], {**value, "bin": {"maxbins": BINS}}, {"aggregate": "count", "type": "quantitative"})]
-    named = [{"label": str(r.get(label)), "value": r[measure]} for r in points[:PLOTTED]]
-    nominal = {"field": "label", "type": "nominal"}
-    if asks_comparison(question) and len(named) <= FEW:
-        return [chart("comparison", f"{name} compared", named, {**nominal, "sort": "-y"}, value, color=nominal)]
-    return [chart("ranking", f"{name} ranking", named, value, {**nominal, "sort": "-x"})]
 
+def _side_by_side(s: Subject) -> tuple[str, dict]:
+    return "bar", {"x": _name("label", sort="-y"), "y": _value(s.metric), "color": _name("label")}
 
-def level_of(rows: Rows, stated: str | None = None) -> str | None:
-    if stated in LEVELS.values():
-        return stated
-    return next((level for c, level in LEVELS.items() if rows and c in rows[0]), None)
 
+def _steps(s: Subject) -> tuple[str, dict]:
+    return "bar", {"x": _value(s.metric) | {"bin": {"maxbins": BINS}}, "y": {"aggregate": "count", "type": "quantitative"}}
+
+
+def _points(s: Subject) -> tuple[str, dict]:
+    return "point", {"x": _value(s.metric), "y": _value(s.other, "other_value"), "tooltip": _name("label")}
 
-def map_for(question: str, rows: Rows, focus: str | None = None, stated_level: str | None = None, is_flow: bool = False) -> dict:
-    """What to show on a map, if rows name places and have a measure."""
-    level, found = level_of(rows, stated_level), measures(rows)
-    if not rows or not found or level is None or not any(isinstance(rows[0].get(c), str) for c in PLACES):
-        return {"enabled": False, "kind": "none"}
-    top = re.search(r"(?i)\b(top|bottom)\s+([0-9]+)\b", question)
-    if is_flow:
-        kind = "flows of a place" if focus else "flows"
-    elif asks_comparison(question) and 2 <= len(rows) <= FEW:
-        kind = "comparison"
-    elif focus and level in ("county", "congress"):
-        kind = "parts of a place"
-    elif focus and len(rows) == 1:
-        kind = "one place"
-    elif top and len(rows) <= PLOTTED:
-        kind = "highlighted"
-    else:
-        kind = "all places"
-    out = {"enabled": True, "kind": kind, "level": level, "metric": found[0]}
-    if focus and kind != "comparison":
-        out["focus"] = focus.title()
-    if kind == "comparison":
-        out["places"] = [str(r[label_column(rows)]) for r in rows]
-    if kind == "highlighted":
-        out["n"] = int(top[2])
-    return out
 
+def _grid(s: Subject) -> tuple[str, dict]:
+    return "rect", {"x": _name("destination"), "y": _name("origin"), "color": _value(s.metric, "amount")}
 
-# What a column's name says about its being the measure of interest.
-HELPERS = re.compile(r"(?i)^year$|_year$|^rank$|_rank$|list_position|sample_size|row_count|total_states|overall_|national_|state_average|mean|median|average|percentile|pct_|^diff_|_diff$|fips|^id$|_id$")
-TELLING = ((40, r"per_capita|ratio|assets|liabilit|revenue|expenses|expenditure|spending|contracts|grants|payments|wage|employment|residents|employees|population|poverty|income|literacy|flow|amount|score"), (16, r"_per_1000|_per_capita|_ratio|_amount"), (12, r"^total_"), (-8, r"^count$|count_"))
-EARLY = 8
+
+def _slices(s: Subject) -> tuple[str, dict]:
+    return "arc", {"theta": _value(s.metric, "amount"), "color": _name("destination")}
+
+
+#: Of each operation that is drawn: the kind of chart, its encoding, and whether it shows every row.
+CHARTS = {
+    "trend": ("trend", _line, True),
+    "values": ("distribution", _steps, True),
+    "cross_metric": ("relation", _points, True),
+    "flow_pair_total": ("flows", _grid, True),
+    "flow_share": ("shares", _slices, True),
+    "compare": ("comparison", _side_by_side, False),
+    "ranking": ("ranking", _bars, False),
+    "breakout": ("ranking", _bars, False),
+    "lookup": ("comparison", _side_by_side, False),
+}
+
+
+def charts(contract: Contract, rows: Rows) -> list[dict]:
+    """The chart of a result, or none: one row, an operation that isn't drawn, or fewer than two numbers."""
+    s = Subject.of(contract)
+    if s is None or contract.operation not in CHARTS or len(rows) < 2:
+        return []
+    kind, encode, whole = CHARTS[contract.operation]
+    mark, encoding = encode(s)
+    measured = [a["field"] for a in encoding.values() if a.get("type") == "quantitative" and "field" in a]
+    points = [r for r in rows if all(is_number(r.get(f)) for f in measured)]
+    if len(points) < 2:
+        return []
+    about = "period" if contract.operation == "trend" else s.entity
+    title = f"{s.metric.label or s.metric.name} by {about}"
+    return [{"kind": kind, "title": title, "spec": {"data": {"values": points if whole else points[:NAMED]}, "mark": {"type": mark}, "encoding": encoding}}]
+
+
+def map_for(contract: Contract, rows: Rows) -> dict:
+    """What a map shows: rows about places, with their level, metric and the place that they are parts of."""
+    s = Subject.of(contract)
+    if s is None or s.level is None or not rows:
+        return {"enabled": False, "kind": "none"}
+    out = {"enabled": True, "kind": "all places", "level": s.level, "metric": s.metric.name}
+    focus = [v for d, v in contract.where or () if d in PLACES]
+    if contract.operation.startswith("flow_"):
+        out["kind"] = "flows"
+    elif contract.operation in ("compare", "lookup"):
+        out |= {"kind": "named places", "places": [r["label"] for r in rows]}
+    elif contract.operation == "ranking" and contract.limit is not None:
+        out |= {"kind": "first places", "n": min(contract.limit, len(rows))}
+    if focus:
+        out["focus"] = focus[0]
+    return out
 
 
-def measure_of_interest(rows: Rows) -> str | None:
-    """The measure with the most telling name; earlier columns win a little."""
-    if not rows:
-        return None
-    names = list(rows[0])
-    found = [c for c in measures(rows) if not HELPERS.search(c) and c not in PLACES]
-    worth = {c: sum(n for n, p in TELLING if re.search(p, c, re.I)) + max(0, EARLY - names.index(c)) for c in found}
-    return max(found, key=lambda c: worth[c], default=None)
+def measure_of_interest(contract: Contract, rows: Rows) -> str | None:
+    """The column to show: the result's value, else the table's first metric that the rows hold."""
+    held = [c for c in (rows[0] if rows else ()) if any(is_number(r.get(c)) for r in rows)]
+    wanted = ["value", *([contract.metric] if contract.metric else []), *(m.name for m in TABLES[contract.table].metrics)]
+    return next((c for c in wanted if c in held), None)
 
 
 def highest(rows: Rows, measure: str) -> dict | None:
+    """The row with the largest measure, the first of equal ones."""
     return max((r for r in rows if is_number(r.get(measure))), key=lambda r: r[measure], default=None)
 
 
-def with_focus(rows: Rows, focus: str | None) -> Rows:
-    """County rows without a state get the one that the question is about."""
-    if not focus or not rows or "county" not in rows[0] or "state" in rows[0]:
-        return rows
-    return [{**r, "state": focus} for r in rows]
+def with_where(contract: Contract, rows: Rows) -> Rows:
+    """Rows with the dimensions that the contract holds fixed, where they lack them."""
+    return [{**dict(contract.where or ()), **r} for r in rows]

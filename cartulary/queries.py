@@ -19,6 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: Names that questions ask about: the first and the last nation.
+FIRST, LAST = "NATION_0", "NATION_9"
+
 SALES = """sales AS (
   SELECT n.n_name AS nation, r.r_name AS region, CAST(year(o.o_orderdate) AS INTEGER) AS year, CAST(year(o.o_orderdate) AS VARCHAR) AS period,
          l.l_suppkey AS supplier_key, l.l_partkey AS part_key, c.c_mktsegment AS segment,
@@ -81,16 +84,14 @@ def top1_entity(spark, d):
     return contract(spark, d, "ranking", "spending_nation", metric="revenue", limit=1, period=marts.ALL_YEARS)
 
 
-@query("SELECT nation AS label, revenue AS value FROM spending WHERE period = '2000' AND lower(nation) = (SELECT lower(MIN(n_name)) FROM nation)", SPENDING)
+@query("SELECT nation AS label, revenue AS value FROM spending WHERE period = '2000' AND lower(nation) = 'nation_0'", SPENDING)
 def lookup_scalar(spark, d):
-    first = marts.nations(spark, d).agg(F.min("nation")).first()[0]
-    return contract(spark, d, "lookup", "spending_nation", metric="revenue", names=(f" {first.lower()} ",))
+    return contract(spark, d, "lookup", "spending_nation", metric="revenue", names=(f" {FIRST.lower()} ",))
 
 
-@query("SELECT nation AS label, revenue AS value FROM spending WHERE period = '2000' AND nation IN (SELECT n_name FROM nation WHERE n_nationkey < 2) ORDER BY revenue DESC", SPENDING)
+@query("SELECT nation AS label, revenue AS value FROM spending WHERE period = '2000' AND nation IN ('NATION_0', 'NATION_1') ORDER BY revenue DESC", SPENDING)
 def compare_in(spark, d):
-    names = tuple(r.n_name for r in scan(spark, d, "nation").filter("n_nationkey < 2").collect())
-    return contract(spark, d, "compare", "spending_nation", metric="revenue", names=names)
+    return contract(spark, d, "compare", "spending_nation", metric="revenue", names=(FIRST, "NATION_1"))
 
 
 @query("SELECT period AS label, ROUND(AVG(revenue), 6) AS value FROM spending WHERE length(period) = 4 GROUP BY period", SPENDING)
@@ -129,12 +130,12 @@ def composite_measure(spark, d):
 
 @query("SELECT nation, period, items FROM spending WHERE period = '1996'", SPENDING)
 def period_label_filter(spark, d):
-    return catalog.load(spark, d, "spending_nation").filter(F.col("period").cast("string") == "1996").select("nation", "period", "items")
+    return catalog.load(spark, d, "spending_nation", "1996").filter(F.col("period").cast("string") == "1996").select("nation", "period", "items")
 
 
 @query("SELECT nation, period, items FROM spending WHERE period = '1995-2001'", SPENDING)
 def period_multi_year(spark, d):
-    return catalog.load(spark, d, "spending_nation").filter(F.col("period") == marts.ALL_YEARS).select("nation", "period", "items")
+    return catalog.load(spark, d, "spending_nation", marts.ALL_YEARS).filter(F.col("period") == marts.ALL_YEARS).select("nation", "period", "items")
 
 
 @query("SELECT nation AS label, revenue AS value FROM spending WHERE period = '2000' ORDER BY nation LIMIT 5000", SPENDING)
@@ -208,10 +209,9 @@ def asof_last(spark, d):
 # --- aggregates ---
 
 
-@query("SELECT brand AS label, revenue AS value FROM brands WHERE period = '2000' AND nation = (SELECT MIN(n_name) FROM nation) ORDER BY revenue DESC, brand LIMIT 10", BRANDS)
+@query("SELECT brand AS label, revenue AS value FROM brands WHERE period = '2000' AND nation = 'NATION_0' ORDER BY revenue DESC, brand LIMIT 10", BRANDS)
 def agency_breakout(spark, d):
-    first = marts.nations(spark, d).agg(F.min("nation")).first()[0]
-    return contract(spark, d, "breakout", "spending_nation_brand", metric="revenue", entity="brand", where=(("nation", first),))
+    return contract(spark, d, "breakout", "spending_nation_brand", metric="revenue", entity="brand", where=(("nation", FIRST),))
 
 
 @query("SELECT CAST(COUNT(revenue) AS BIGINT) AS n, MIN(revenue) AS least, MAX(revenue) AS most, ROUND(AVG(revenue), 6) AS mean, ROUND(MEDIAN(revenue), 6) AS median FROM spending WHERE period = '2000'", SPENDING)
@@ -219,10 +219,9 @@ def summary_stats(spark, d):
     return contract(spark, d, "summary", "spending_nation", metric="revenue")
 
 
-@query("SELECT nation, balance, (SELECT ROUND(AVG(balance), 6) FROM accounts) AS mean, (SELECT ROUND(MEDIAN(balance), 6) FROM accounts) AS median FROM accounts WHERE nation = (SELECT MAX(n_name) FROM nation)", ACCOUNTS)
+@query("SELECT nation, balance, (SELECT ROUND(AVG(balance), 6) FROM accounts) AS mean, (SELECT ROUND(MEDIAN(balance), 6) FROM accounts) AS median FROM accounts WHERE nation = 'NATION_9'", ACCOUNTS)
 def entity_vs_national(spark, d):
-    last = marts.nations(spark, d).agg(F.max("nation")).first()[0]
-    return stats.against_all(marts.accounts(spark, d).select("nation", "balance"), "balance", F.col("nation") == last)
+    return stats.against_all(marts.accounts(spark, d).select("nation", "balance"), "balance", F.col("nation") == LAST)
 
 
 @query("SELECT ROUND(CORR(s.revenue, a.balance), 4) AS r FROM spending s JOIN accounts a ON s.nation = a.nation WHERE s.period = '2000'", f"{SPENDING}, {ACCOUNTS}")
@@ -259,31 +258,29 @@ def having_distinct_listagg(spark, d):
 # --- flows ---
 
 
-@query("SELECT CAST(SUM(amount) AS DOUBLE) AS amount FROM flows WHERE lower(destination) = (SELECT lower(MIN(n_name)) FROM nation)", FLOWS)
+@query("SELECT CAST(SUM(amount) AS DOUBLE) AS amount FROM flows WHERE lower(destination) = 'nation_0'", FLOWS)
 def flow_inflow(spark, d):
-    first = marts.nations(spark, d).agg(F.min("nation")).first()[0]
-    return flows.amount_of(flows.filtered(marts.flows(spark, d), destination=first))
+    return flows.amount_of(flows.filtered(marts.flows(spark, d, brands=False), destination=FIRST))
 
 
-@query("SELECT CAST(SUM(amount) AS DOUBLE) AS amount FROM flows WHERE origin = (SELECT MIN(n_name) FROM nation) AND year BETWEEN 1996 AND 1998 AND brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21')", FLOWS)
+@query("SELECT CAST(SUM(amount) AS DOUBLE) AS amount FROM flows WHERE origin = 'NATION_0' AND year BETWEEN 1996 AND 1998 AND brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21')", FLOWS)
 def flow_outflow_filtered(spark, d):
-    first = marts.nations(spark, d).agg(F.min("nation")).first()[0]
-    return flows.amount_of(flows.filtered(marts.flows(spark, d), origin=first, years=(1996, 1998), brands=["Brand#11", "Brand#12", "Brand#13", "Brand#21"]))
+    return flows.amount_of(flows.filtered(marts.flows(spark, d, years=(1996, 1998)), origin=FIRST, years=(1996, 1998), brands=["Brand#11", "Brand#12", "Brand#13", "Brand#21"]))
 
 
 @query("SELECT origin, destination, CAST(SUM(amount) AS DOUBLE) AS amount, CAST(COUNT(*) AS BIGINT) AS n_flows FROM flows GROUP BY 1, 2", FLOWS)
 def flow_pair_total(spark, d):
-    return flows.pairs(marts.flows(spark, d))
+    return flows.pairs(marts.flows(spark, d, brands=False))
 
 
 @query("SELECT destination, CAST(SUM(amount) AS DOUBLE) AS amount, ROUND(CAST(SUM(amount) AS DOUBLE) * 100 / (SELECT CAST(SUM(amount) AS DOUBLE) FROM flows), 6) AS share FROM flows GROUP BY 1", FLOWS)
 def flow_share(spark, d):
-    return flows.shares(marts.flows(spark, d))
+    return flows.shares(marts.flows(spark, d, brands=False))
 
 
 @query("SELECT origin = destination AS internal, CAST(SUM(amount) AS DOUBLE) AS amount, CAST(COUNT(*) AS BIGINT) AS n_flows FROM flows GROUP BY 1", FLOWS)
 def flow_internal_split(spark, d):
-    return flows.internal_split(marts.flows(spark, d))
+    return flows.internal_split(marts.flows(spark, d, brands=False))
 
 
 @query("SELECT origin, destination, brand, amount FROM (SELECT origin, destination, brand, CAST(SUM(amount) AS DOUBLE) AS amount, row_number() OVER (PARTITION BY origin, destination ORDER BY SUM(amount) DESC, brand) AS n FROM flows GROUP BY 1, 2, 3) WHERE n = 1", FLOWS)
@@ -293,12 +290,12 @@ def flow_top_contributor(spark, d):
 
 @query("SELECT CAST(SUM(amount) AS DOUBLE) AS amount, CAST(COUNT(*) AS BIGINT) AS n_flows, CAST(SUM(amount) FILTER (WHERE origin = destination) AS DOUBLE) AS internal_amount, CAST(COUNT(*) FILTER (WHERE origin = destination) AS BIGINT) AS n_internal, (SELECT CAST(COUNT(*) AS BIGINT) FROM (SELECT origin FROM flows UNION SELECT destination FROM flows)) AS n_places, ROUND(CAST(SUM(amount) AS DOUBLE) / COUNT(*), 6) AS mean_amount FROM flows", FLOWS)
 def flow_summary(spark, d):
-    return flows.summary(marts.flows(spark, d))
+    return flows.summary(marts.flows(spark, d, brands=False))
 
 
 @query("SELECT bucket, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CASE WHEN a <= 1e6 THEN '<=1M' WHEN a <= 1e7 THEN '1-10M' WHEN a <= 1e8 THEN '10-100M' WHEN a <= 1e9 THEN '100M-1B' ELSE '>1B' END AS bucket FROM (SELECT CAST(SUM(amount) AS DOUBLE) AS a FROM flows GROUP BY origin, destination)) GROUP BY 1", FLOWS)
 def flow_buckets(spark, d):
-    return flows.pairs(marts.flows(spark, d)).groupBy(stats.stepped(F.col("amount"), stats.FLOW_STEPS, stats.FLOW_LAST).alias("bucket")).agg(F.count("*").alias("n"))
+    return flows.pairs(marts.flows(spark, d, brands=False)).groupBy(stats.stepped(F.col("amount"), stats.FLOW_STEPS, stats.FLOW_LAST).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 # --- ranks and classes ---
@@ -309,23 +306,23 @@ FROM (SELECT nation, revenue FROM spending WHERE period = '2000') CROSS JOIN (SE
 
 @query(_CLASSED.format(", ".join(f"v[1 + CAST(least(n - 1, floor(n * {s} / 5.0)) AS BIGINT)] AS b{s}" for s in range(1, 5))), SPENDING)
 def quintile_rule_a(spark, d):
-    return stats.classed(marts.spending(spark, d).filter("period = '2000'").select("nation", "revenue"), "revenue", "floor")
+    return stats.classed(marts.spending(spark, d, "2000").select("nation", "revenue"), "revenue", "floor")
 
 
 @query(_CLASSED.format(", ".join(f"v[1 + CAST(floor({s} / 5.0 * (n - 1)) AS BIGINT)] AS b{s}" for s in range(1, 5))), SPENDING)
 def quintile_rule_b(spark, d):
-    return stats.classed(marts.spending(spark, d).filter("period = '2000'").select("nation", "revenue"), "revenue", "rank")
+    return stats.classed(marts.spending(spark, d, "2000").select("nation", "revenue"), "revenue", "rank")
 
 
-@query("SELECT c_custkey, c_acctbal, CAST(row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS BIGINT) AS rank FROM customer")
+@query("SELECT c_custkey, c_acctbal, c_name, CAST(row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS BIGINT) AS rank FROM customer")
 def full_ranking(spark, d):
-    return stats.ranked(scan(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
+    return stats.ranked(scan(spark, d, "customer").select("c_custkey", "c_acctbal", "c_name"), "c_acctbal", "c_custkey")
 
 
 @query("SELECT nation, region, revenue, CAST(rank() OVER w AS INTEGER) AS place, ROUND(percent_rank() OVER w, 6) AS percentile FROM spending WHERE period = '2000' WINDOW w AS (PARTITION BY region ORDER BY revenue DESC)", SPENDING)
 def rank_percentile(spark, d):
     w = Window.partitionBy("region").orderBy(F.desc("revenue"))
-    return marts.spending(spark, d).filter("period = '2000'").select("nation", "region", "revenue", F.rank().over(w).alias("place"), F.round(F.percent_rank().over(w), 6).alias("percentile"))
+    return marts.spending(spark, d, "2000").select("nation", "region", "revenue", F.rank().over(w).alias("place"), F.round(F.percent_rank().over(w), 6).alias("percentile"))
 
 
 @query("SELECT CAST(CASE WHEN c_acctbal < -1000 THEN 0 WHEN c_acctbal >= 10000 THEN 12 ELSE 1 + floor((c_acctbal + 1000) / 1000) END AS BIGINT) AS bin, CAST(COUNT(*) AS BIGINT) AS n FROM customer WHERE c_acctbal IS NOT NULL GROUP BY 1")
@@ -424,9 +421,18 @@ def nan_to_null_rows(spark, d):
     return nan_to_null(scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x")))
 
 
-@query("SELECT s_suppkey, '$' || CAST(CAST(s_suppkey AS DECIMAL(18,2)) AS VARCHAR) || 'M' AS shown FROM supplier WHERE s_suppkey BETWEEN 1 AND 999")
+#: Supplier balances over nine magnitudes and both signs, and none for every eleventh.
+_AMOUNT = "CASE WHEN s_suppkey % 11 <> 10 THEN ROUND(s_acctbal * [0.01, 1, 10, 100, 1000, 10000, 100000, 1000000, 10000000][1 + s_suppkey % 9], 2) END"
+
+
+@query(f"""SELECT s_suppkey, CASE WHEN a IS NULL THEN 'N/A' ELSE CASE WHEN a < 0 THEN '-' ELSE '' END || '$' || CASE
+    WHEN abs(a) >= 1e9 THEN printf('%.2f', abs(a) / 1e9) || 'B' WHEN abs(a) >= 1e6 THEN printf('%.2f', abs(a) / 1e6) || 'M'
+    WHEN abs(a) >= 1e3 THEN format('{{:,}}', CAST(round_even(abs(a), 0) AS BIGINT)) ELSE printf('%.2f', abs(a)) END END AS shown
+  FROM (SELECT s_suppkey, {_AMOUNT} AS a FROM supplier)""")
 def money_shown(spark, d):
-    return scan(spark, d, "supplier").filter("s_suppkey between 1 and 999").select("s_suppkey", text.shown(F.lit("grants"), F.col("s_suppkey") * 1e6).alias("shown"))
+    steps = F.array(*(F.lit(x) for x in (0.01, 1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e7)))
+    amount = F.when(F.col("s_suppkey") % 11 != 10, F.round(F.col("s_acctbal") * steps[(F.col("s_suppkey") % 9).cast("int")], 2))
+    return scan(spark, d, "supplier").select("s_suppkey", text.shown(F.lit("grants"), amount).alias("shown"))
 
 
 @query("SELECT nation, sha256(nation || ':' || CAST(customers AS VARCHAR)) AS key FROM accounts", ACCOUNTS)
@@ -444,8 +450,7 @@ def sequence_similarity(spark, d):
 
 @query()
 def resolve_entity(spark, d):
-    first = marts.nations(spark, d).agg(F.min("nation")).first()[0]
-    return resolve.resolved(resolve.distinct_values(marts.nations(spark, d), "nation"), f"how much did {first.title()} receive")
+    return resolve.resolved(resolve.distinct_values(marts.nations(spark, d), "nation"), f"how much did {FIRST.title()} receive")
 
 
 # --- extension: windows over events, as on a stream ---

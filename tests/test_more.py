@@ -1,9 +1,10 @@
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from cartulary.functions import parsing, places
 from cartulary.operators import geo
-from cartulary.plans import evaluate, gate, route, visuals
+from cartulary.plans import evaluate, gate, route
 from cartulary.queries import SPENDING
 from cartulary.sources.tables import register
 
@@ -36,13 +37,6 @@ def test_composites(spark):
     assert geo.with_complement(df, "Contracts", "a", "b") is df
 
 
-def test_measure_of_interest():
-    rows = [{"state": "a", "rank": 1, "x": 2, "Total_Assets_per_capita": 3.0}, {"state": "b", "rank": 2, "x": None, "Total_Assets_per_capita": 9.0}]
-    assert visuals.measure_of_interest(rows) == "Total_Assets_per_capita" and visuals.measure_of_interest([]) is None
-    assert visuals.highest(rows, "Total_Assets_per_capita")["state"] == "b"
-    assert visuals.with_focus([{"county": "x", "v": 1}], "Ohio") == [{"county": "x", "v": 1, "state": "Ohio"}]
-
-
 def test_batches(spark, small):
     register(spark, small.dir)
     out = gate.batch(spark, {"a": "SELECT n_name FROM mart_nation", "b": "DROP TABLE x"}, 3)
@@ -64,3 +58,19 @@ def test_cases_against_independent_sql(spark, small):
     ]
     shares = evaluate.evaluated(cases, lambda q: route.ask(spark, small.dir, q), lambda s: con.execute(s).fetchall())
     assert evaluate.passed(shares), shares
+
+
+def test_cases_come_from_a_file(tmp_path):
+    (tmp_path / "cases").write_text('{"question": "q", "intent": "META", "tables": ["a"], "expect": {"min_rows": 1}}\n\n')
+    assert evaluate.load_cases(str(tmp_path / "cases")) == [evaluate.Case("q", "META", ("a",), None, {"min_rows": 1})]
+    (tmp_path / "cases").write_text('{"question": "q", "intent": "META", "expect": {"rows": 1}}')
+    with pytest.raises(ValueError, match="rows"):
+        evaluate.load_cases(str(tmp_path / "cases"))
+
+
+def test_what_a_case_expects():
+    a = route.Answer("answered", "revenue: x 5", [{"label": "x", "value": 5.0}])
+    case = lambda **e: evaluate.Case("q", "ANALYTICAL", expect=e)
+    assert evaluate.holds(case(scalar=True, top_label=True, row_count=1, contains=["X", "5"]), a, [("x", 5.01)])
+    assert not evaluate.holds(case(scalar=True), a, [("x", 6)]) and not evaluate.holds(case(top_label=True), a, [("y", 5)])
+    assert not evaluate.holds(case(), a, [("x", 5)]) and not evaluate.holds(case(contains=["z"]), a, [])

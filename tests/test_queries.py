@@ -60,3 +60,7 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     assert "PushedFilters: [IsNotNull" in plan and "o_custkey" not in plan
     plan = QUERIES["rank_topk"](spark, small.dir)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "l_shipdate" not in plan and "o_totalprice" not in plan
+    orders = plan[plan.index("o_orderdate") :]
+    assert "GreaterThanOrEqual(o_orderdate" in orders and "LessThan(o_orderdate" in orders
+    plan = QUERIES["flow_pair_total"](spark, small.dir)._jdf.queryExecution().executedPlan().toString()
+    assert "p_partkey" not in plan
