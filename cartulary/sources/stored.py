@@ -41,15 +41,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back."""
     at = fresh_path(df.sparkSession, name)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.saved_at = at
+    return out
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes the files of saved tables, once all that reads them is stored itself."""
+    """Deletes the files of what saved() gave, once all that reads them is stored itself."""
     for t in tables:
         spark = t.sparkSession
-        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            if "/cartulary-" not in folder:
-                raise ValueError(f"not a saved table: {folder}")
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
