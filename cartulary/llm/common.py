@@ -1,12 +1,7 @@
-"""What the operators share: the shared folder, text batches and vocabularies."""
+"""What the operators share: stored tables, text batches and vocabularies."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -16,6 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.stored import dropped, fresh_path, saved, shared_dir
+
+__all__ = ["dropped", "fresh_path", "saved", "shared_dir"]
+
 #: White space of the contracts: space and tab to carriage return.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -26,37 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only where that is unset on one machine, as in tests, a folder of our own is
-    set, which goes when Python ends.  A cluster has to name one.
-    """
-    if not (d := spark.conf.get("spark.checkpoint.dir", None)):
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="cartulary-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        d = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, deleted when the driver's JVM ends."""
-    at = f"{shared_dir(spark)}/cartulary-{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return at
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: lineage ends there."""
-    at = fresh_path(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores before it as it takes to be none of `taken` in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
 
 
 def exchange_count(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ def test_run_against_brute_force(spark, small):
         base, x = quality.measured(docs_array([r.text]))
         if not quality.base_failed(base)[0] and trees.score(x)[0] >= quality.KEEP_SCORE:
             rows[r.doc_id] = r.text
-    keep = [i for _, i, _, c in near_brute(list(rows.items())) if i == c]
+    keep = [i for _, i, _, c in near_brute(list(rows.items()), 5, 80) if i == c]
     t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
     want = {i: len(t.encode(secrets.redact(rows[i]), add_special_tokens=False).ids) + 1 for i in keep}
     got = corpus_pipeline.run(spark, small.dir).collect()
