@@ -8,26 +8,33 @@ changes their text.  If a border of what it touched isn't such a place any more,
 the leaf beyond is taken in, until both borders are; these are all the tokens
 that the edit can change.  Only they are encoded again, and the sums on the paths
 to the root follow.
+
+Trees are kept: ``build`` stores each document's leaves (characters and tokens)
+beside its text, and ``updated`` takes stored trees with edits, encodes nothing but
+what they touch, and gives trees that further edits can follow.  ``with_edits`` brings
+edits from a table.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BATCH_BYTES, ChunkEncoder
-from .common import library_chunks, map_batches, slices, table
+from .common import library_chunks, map_batches, saved, slices, table
 
 LEAF_CHARS = 256
 #: start, end (exclusive) and the new text, in code points of the text as the edits before have left it.
 Edit = tuple[int, int, str]
 
 #: What the query masks: e-mail addresses and long numbers.
-MASKED = re.compile(r"[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,64}(?:\.[A-Za-z0-9-]{1,64}){1,8}|[0-9]{5,}")
+MASKED = re.compile(r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|[0-9]{5,}+")
 
 
 def splits(left: str, right: str) -> bool:
@@ -130,13 +137,22 @@ class CountTree:
         return "".join(self.leaves)
 
 
-def trees(encoder: ChunkEncoder, texts: list[str | None]) -> Iterator[CountTree]:
-    """A tree for each text; their leaves are encoded together."""
-    cut = [leaves_of(t or "") for t in texts]
-    counts = (len(ids) // 2 for ids in encoder.encode([x for c in cut for x in c]))
-    count = lambda text: len(next(encoder.encode([text]))) // 2
-    for c in cut:
-        yield CountTree(c, [next(counts) for _ in c], count)
+    def kept(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves with text: what is stored of the tree."""
+        some = [k for k in range(len(self.leaves)) if self.leaves[k]]
+        return [len(self.leaves[k]) for k in some], [self.tokens[self.size + k] for k in some]
+
+
+def counter(encoder: ChunkEncoder) -> Callable[[str], int]:
+    return lambda text: len(next(encoder.encode([text]))) // 2
+
+
+def restored(text: str, chars: list[int], tokens: list[int], count: Callable[[str], int]) -> CountTree:
+    """The tree of a text from its stored leaves; nothing is encoded."""
+    ends = list(accumulate(chars))
+    if (ends[-1] if ends else 0) != len(text):
+        raise ValueError("the leaves aren't those of the text")
+    return CountTree([text[a:b] for a, b in zip([0, *ends], ends)] or [""], tokens or [0], count)
 
 
 def masks(text: str) -> list[Edit]:
@@ -144,35 +160,92 @@ def masks(text: str) -> list[Edit]:
     return [(m.start(), m.end(), "<mail>" if "@" in m[0] else "<number>") for m in reversed(list(MASKED.finditer(text)))]
 
 
-def counted(docs: DataFrame, vocabulary: str, edits_of: Callable[[str], list[Edit]] = masks) -> DataFrame:
-    """doc_id, n_tokens, n_edits, n_tokens_after, n_chars_after and n_chars_encoded (again) of each row.
+TREE = "doc_id long, text string, chars array<int>, tokens array<int>"
+EDITS = "edits array<struct<start: int, end: int, new: string>>"
+COLUMNS = ("n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "n_chars_encoded")
+
+
+def build(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """A stored tree for each row: doc_id, text, and the characters and tokens of its leaves.
 
-    A null or empty text has no tokens; null doc_ids and repeated rows stay as
-    they are; other columns don't matter; an empty table gives an empty result.
+    A null text counts as an empty one, which has no leaves; a text of any length
+    is cut into leaves, which are encoded together.  Null doc_ids and repeated rows
+    stay as they are; other columns don't matter; an empty table gives an empty one.
     """
 
     def make():
         encoder = library_chunks(vocabulary)
 
-        def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch, most=BATCH_BYTES):
-                texts, rows = part["text"].to_pylist(), []
-                for text, tree in zip(texts, trees(encoder, texts), strict=True):
-                    before, edits = tree.n_tokens, edits_of(text or "")
-                    for e in edits:
-                        tree.edit(*e)
-                    rows.append((before, len(edits), tree.n_tokens, tree.n_chars, tree.encoded))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["doc_id", *COLUMNS])
+                leaves = [[x for x in leaves_of(t or "") if x] for t in part["text"].to_pylist()]
+                counts = (len(ids) // 2 for ids in encoder.encode([x for c in leaves for x in c]))
+                tokens = [[next(counts) for _ in c] for c in leaves]
+                columns = [part["doc_id"], pc.fill_null(part["text"], ""), pa.array([[len(x) for x in c] for c in leaves], pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "chars", "tokens"])
 
-        return count
+        return cut
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, ", ".join(["doc_id long", *(f"{c} long" for c in COLUMNS)]))
+    return saved(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, TREE), "trees")
 
 
-COLUMNS = ("n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "n_chars_encoded")
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """Trees with the edits (doc_id, seq, start, end, new) of their document, in order of seq.
+
+    A document's edits come together in one row, as its text does.  An edit of a
+    doc_id that several rows have is made to each of them; one without a doc_id or
+    a tree is made to none.
+    """
+    one = F.struct("seq", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "new")
+    own = edits.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["new"].alias("new"))).alias("edits"))
+    return trees.join(own, "doc_id", "left").withColumn("edits", F.coalesce("edits", F.array().cast("array<struct<start: int, end: int, new: string>>")))
+
+
+def with_masks(trees: DataFrame) -> DataFrame:
+    """Trees with the edits that mask what MASKED finds in their texts."""
+
+    def find(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("new", pa.string())]))
+        for part in slices(batch):
+            edits = [[dict(zip(("start", "end", "new"), e, strict=True)) for e in masks(t)] for t in part["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(edits, kind)], [*part.schema.names, "edits"])
+
+    return map_batches(trees.select("doc_id", "text", "chars", "tokens"), lambda: find, f"{TREE}, {EDITS}")
+
+
+def updated(trees: DataFrame, vocabulary: str) -> DataFrame:
+    """Trees after their edits (a column as in EDITS), with the counts of COLUMNS; only what edits touch is encoded."""
+
+    def make():
+        count = counter(library_chunks(vocabulary))
+
+        def change(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for part in slices(batch):
+                trees, rows = [], []
+                for text, chars, tokens, edits in zip(*(part[c].to_pylist() for c in ("text", "chars", "tokens", "edits")), strict=True):
+                    before = sum(tokens)
+                    if edits:
+                        tree = restored(text, chars, tokens, count)
+                        for e in edits:
+                            tree.edit(e["start"], e["end"], e["new"] or "")
+                        text, (chars, tokens), encoded = tree.text(), tree.kept(), tree.encoded
+                    else:
+                        encoded = 0
+                    trees.append((text, chars, tokens))
+                    rows.append((before, len(edits or ()), sum(tokens), len(text), encoded))
+                kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                columns = [part["doc_id"], *(pa.array(c, k) for c, k in zip(zip(*trees, strict=True), kinds, strict=True)), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "chars", "tokens", *COLUMNS])
+
+        return change
+
+    return map_batches(trees.select("doc_id", "text", "chars", "tokens", "edits"), make, ", ".join([TREE, *(f"{c} long" for c in COLUMNS)]))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """Every document's tokens before and after its e-mail addresses and long numbers are masked."""
     import public_tokenizers
 
-    return counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    trees = build(table(spark, sf_dir, "documents"), vocabulary)
+    return updated(with_masks(trees), vocabulary).select("doc_id", *COLUMNS)
