@@ -1,23 +1,23 @@
-"""LM scoring by a probabilistic suffix tree over the characters of a text.
-
-Symbols are the ``FREQUENT`` most frequent characters of the training texts, one
-symbol for any other character (its own code point then costs a flat share), and
-one that ends a text.  Contexts are the last 0 to ``DEPTH`` symbols.  A context
-of the tree is kept if it is frequent enough and its next-symbol counts diverge
-from what the context without its oldest symbol predicts (a likelihood-ratio
-test), or if a longer kept context needs it.  Distributions are smoothed towards
-the next shorter kept context in proportion to how many different symbols
-follow, and each symbol is scored by the longest kept suffix of what precedes it.
-
-The tree grows with the corpus: every context that occurs ``LEAST_COUNT`` times
-is tested.  Counts of runs stay a table.  The contexts that share their ``_DENSE``
-newest symbols are one subtree, decided in a task by itself; only the lengths
-below that (64**2 contexts of 64 symbols at most) and which contexts of _DENSE
-symbols are kept (64**3 at most) meet at the driver.  The distinct runs of each
-block of texts meet their log probabilities in joins.  Only the ``HOT_WORDS``
-words that occur most go to every task; each document's other words meet their
-counts in a join.
-Words are told apart by 64-bit hashes.
+"""LM scoring by a probabilistic suffix tree over the bytes of a text.
+
+Symbols are the bytes of a text's UTF-8, A-Z lower-cased, and one that ends it, so
+texts of any script are scored alike.  Contexts are the last 0 to ``DEPTH`` symbols.
+Those of up to one symbol are always in the tree.  A longer one is kept if it
+occurs ``LEAST_COUNT`` times and its next-symbol counts diverge from what the
+context without its oldest symbol predicts (a likelihood-ratio test), or if a
+longer kept context needs it.  Distributions are smoothed towards the next shorter
+kept context in proportion to how many different symbols follow, and each symbol
+is scored by the longest kept suffix of what precedes it.
+
+The tree grows with the corpus: any context is tested that occurs LEAST_COUNT
+times, however large the corpus.  It is a table.  Runs (a context of DEPTH symbols
+and the next) are counted in one shuffle; those whose contexts end with the same
+two symbols are a subtree that depends on no other, so subtrees are dealt over
+tasks of about TASK_RUNS runs, which decide their contexts and give each run its
+log probability.  Only counts of pairs of symbols (65,536 at most) meet at the
+driver.  In scoring, the HOT_RUNS runs and HOT_WORDS words that occur most go to
+every task, of a fixed size; each document's other runs and words meet their
+values in joins.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,425 +28,375 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, table
+from .common import LOWER, dropped, map_batches, saved, slices, smaller_batches, table
 from .words import words_of
 
-SYMBOLS = 64
-FREQUENT = SYMBOLS - 2
-OTHER, END = SYMBOLS - 2, SYMBOLS - 1
+SYMBOLS = 256
+#: No byte of UTF-8.
+END = 0xFF
 DEPTH = 5
 LEAST_COUNT = 4
-#: A context needs no share of the corpus.
-LEAST_SHARE = 0.0
-#: Bytes of text of a block, which is scored in one task.
-BLOCK_BYTES = 16 << 20
 #: A context is kept if its likelihood ratio is over so many times its degrees of freedom.
 DIVERGENCE = 1.0
 #: Weight of the shorter context, times the number of different symbols that follow.
 SMOOTHING = 2.5
-OTHER_LOG10 = -math.log10(0x110000 - 0x800)
+HOT_RUNS = 1 << 20
 HOT_WORDS = 1 << 18
+#: Runs of a task that grows subtrees, bytes of text that are cut into runs at once, keys that a task counts before it gives them out.
+TASK_RUNS = 1 << 19
+PIECE_BYTES = 1 << 20
+TALLY_KEYS = 1 << 20
 HELD_OUT_OF = 10
 #: The end of a text as a word.
 END_WORD = np.uint64(0x5DEECE66D1234567)
-CODE_POINTS = 0x110000
-_BITS = 6
-#: Runs of so many symbols have a table of their own; longer ones are looked up.
-_DENSE = 3
+_EIGHT = np.uint64(8)
 
 
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % HELD_OUT_OF == 0, F.lit(False))
 
 
-def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, A-Z lower-cased, and the number of each text's."""
-    data = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), "<u4").copy()
-    data[(data >= 65) & (data <= 90)] += 32
-    return data, np.array([len(t or "") for t in texts], np.int64)
+def runs_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of the texts, in pieces: their codes, and the number of the text that each belongs to.
 
-
-@dataclass(frozen=True)
-class Alphabet:
-    symbol_of: np.ndarray  # of each code point
-
-    @classmethod
-    def of(cls, frequent: list[int]) -> Alphabet:
-        s = np.full(CODE_POINTS, OTHER, np.uint8)
-        s[frequent] = np.arange(len(frequent), dtype=np.uint8)
-        return cls(s)
-
-    def grams(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each symbol of each text and its end: its code with the DEPTH symbols before it.
-
-        Also where each text's codes begin, and how many other characters it has.
-        """
-        data, sizes = code_points(texts)
-        symbols = self.symbol_of[data]
-        ends = np.cumsum(sizes)
-        stream = np.full(len(data) + (len(texts) + 1) * DEPTH, END, np.uint64)
-        text_of = np.repeat(np.arange(len(texts)), sizes)
-        stream[np.arange(len(data)) + (text_of + 1) * DEPTH] = symbols
-        code = stream[DEPTH:].copy()
-        for k in range(1, DEPTH + 1):
-            code |= stream[DEPTH - k : len(stream) - k] << np.uint64(_BITS * k)
-        keep = np.ones(len(code), bool)
-        firsts = ends + np.arange(len(texts)) * DEPTH  # of the ends
-        for k in range(1, DEPTH):
-            keep[firsts + k] = False
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
-        others = np.add.reduceat(np.append(symbols == OTHER, False).astype(np.int64), np.minimum(ends - sizes, len(symbols))) if len(texts) else np.zeros(0, np.int64)
-        return code[keep], starts, np.where(sizes > 0, others, 0)
-
-
-def suffix(contexts: np.ndarray, d: int) -> np.ndarray:
-    return contexts & contexts.dtype.type((1 << _BITS * d) - 1)
-
-
-@dataclass(frozen=True)
-class SuffixTree:
-    """States are numbered by length and context; long_contexts has the sorted kept contexts of each length over _DENSE."""
-
-    alphabet: Alphabet
-    dense_state: np.ndarray  # of each run of _DENSE symbols: its longest kept suffix
-    long_contexts: list[np.ndarray]
-    long_first: list[int]  # the first state of each of these lengths
-    log10_next: np.ndarray  # of each state, of each symbol
-
-    def states(self, context: np.ndarray) -> np.ndarray:
-        """The longest kept suffix of each run of DEPTH symbols; a longer one is kept only if each shorter one is."""
-        state = self.dense_state[suffix(context, _DENSE)]
-        rows = np.arange(len(context))
-        for d, (kept, first) in enumerate(zip(self.long_contexts, self.long_first, strict=True), _DENSE + 1):
-            if not len(kept):
-                break
-            own = suffix(context[rows], d)
-            at = np.minimum(np.searchsorted(kept, own), len(kept) - 1)
-            hit = kept[at] == own
-            rows = rows[hit]
-            state[rows] = first + at[hit]
-        return state
-
-    def log10_of(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of the last symbol of each run of DEPTH symbols and the next."""
-        return self.log10_next[self.states(key >> np.uint64(_BITS)), key & np.uint64(SYMBOLS - 1)]
-
-
-Levels = list[tuple[np.ndarray, np.ndarray]]
-
-
-def kept_contexts(levels: Levels, divergence: float = DIVERGENCE, needed: dict[int, np.ndarray] | None = None) -> list[np.ndarray]:
-    """Which contexts of each level are kept; `needed` has contexts by length that are kept anyway."""
-    kept: list[np.ndarray] = []
-    shorter = np.full((1, SYMBOLS), 1 / SYMBOLS)
-    for d, (contexts, n) in enumerate(levels):
-        base = shorter[np.searchsorted(levels[d - 1][0], suffix(contexts, d - 1))] if d else np.repeat(shorter, len(contexts), 0)
-        total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = 2 * np.where(n > 0, n * np.log(n / total / base), 0).sum(1)
-            shorter = (n + SMOOTHING * kinds * base) / (total + SMOOTHING * kinds)
-        kept.append(ratio > divergence * kinds[:, 0])
-    for d, contexts in (needed or {}).items():
-        kept[d] |= np.isin(levels[d][0], contexts)
-    for d in range(len(levels) - 1, 1, -1):  # what a kept context needs
-        kept[d - 1][np.searchsorted(levels[d - 1][0], suffix(levels[d][0][kept[d]], d - 1))] = True
-    return kept
-
-
-def grown(alphabet: Alphabet, levels: Levels, divergence: float = DIVERGENCE, needed: dict[int, np.ndarray] | None = None) -> SuffixTree:
-    """The tree from the frequent contexts of each length from 0 to DEPTH, sorted, with their next-symbol counts."""
-    kept = kept_contexts(levels, divergence, needed)
-    root = levels[0][1].sum(0)
-    tables = [((root + 0.5) / (root.sum() + 0.5 * SYMBOLS))[None, :]]
-    dense, long_contexts, long_first = np.zeros(1, np.int32), [], []
-    states, before, first_before = 1, np.zeros(1, np.uint64), 0
-    for d in range(1, DEPTH + 1):
-        contexts, n = levels[d][0][kept[d]], levels[d][1][kept[d]]
-        base = tables[-1][np.searchsorted(before, suffix(contexts, d - 1))]
-        kinds = (n > 0).sum(1, keepdims=True)
-        tables.append((n + SMOOTHING * kinds * base) / (n.sum(1, keepdims=True) + SMOOTHING * kinds))
-        if d <= _DENSE:
-            dense = np.tile(dense, SYMBOLS)  # as without the oldest symbol, which is the highest
-            dense[contexts] = np.arange(states, states + len(contexts), dtype=np.int32)
-        else:
-            long_contexts.append(contexts)
-            long_first.append(states)
-        before, states = contexts, states + len(contexts)
-    return SuffixTree(alphabet, dense, long_contexts, long_first, np.log10(np.concatenate(tables)).astype(np.float32))
-
-
-def level(key: np.ndarray, n: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent contexts of length d, sorted, and their next-symbol counts, from counts of longer runs."""
-    key = suffix(key, d + 1)
-    contexts, row = np.unique(key >> np.uint64(_BITS), return_inverse=True)
-    counts = np.bincount(row * SYMBOLS + (key & np.uint64(SYMBOLS - 1)).astype(np.int64), n, len(contexts) * SYMBOLS).reshape(-1, SYMBOLS)
-    often = counts.sum(1) >= (LEAST_COUNT if d else 1)
-    return contexts[often], counts[often]
-
-
-def unsigned(column) -> np.ndarray:
-    return column.to_numpy().astype(np.uint64)
-
-
-@dataclass(frozen=True)
-class StoredTree:
-    """The alphabet, the levels shorter than _DENSE with what is kept of them, and the table of runs (key, n, branch)."""
-
-    alphabet: Alphabet
-    levels: Levels
-    needed: dict[int, np.ndarray]
-    grams: DataFrame
-
-    def log10_table(self, keys: DataFrame) -> DataFrame:
-        """key, log10 of distinct keys: each branch's subtree is grown where its keys are looked up."""
-        levels, needed = self.levels, self.needed
-
-        def look_up(runs: pa.Table, asked: pa.Table) -> pa.Table:
-            if not asked.num_rows:
-                return pa.table({"key": pa.array([], pa.int64()), "log10": pa.array([], pa.float32())})
-            tree = grown(None, branch_levels(levels, asked["branch"][0].as_py(), unsigned(runs["key"]), runs["n"].to_numpy()), needed=needed)
-            return pa.table({"key": asked["key"], "log10": pa.array(tree.log10_of(unsigned(asked["key"])))})
-
-        return self.grams.groupBy("branch").cogroup(keys.withColumn("branch", branch()).groupBy("branch")).applyInArrow(look_up, "key long, log10 float")
-
-
-def branch() -> Column:
-    """The _DENSE newest symbols of a run's context."""
-    return F.shiftright("key", _BITS).bitwiseAND(F.lit((1 << _BITS * _DENSE) - 1))
-
-
-def branch_levels(levels: Levels, own: int, key: np.ndarray, n: np.ndarray) -> Levels:
-    """The levels of the contexts that end with a branch's symbols, and of its own suffixes."""
-    shorter = []
-    for d, (contexts, counts) in enumerate(levels):
-        at = contexts == np.uint64(own & ((1 << _BITS * d) - 1))
-        shorter.append((contexts[at], counts[at]))
-    return shorter + [level(key, n, d) for d in range(_DENSE, DEPTH + 1)]
-
-
-def stored_tree(alphabet: Alphabet, grams: DataFrame) -> StoredTree:
-    """The tree of (key, n), with keys of DEPTH symbols and the next."""
-    grams = saved(grams.select("key", "n", branch().alias("branch")), "grams")
-    short = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << _BITS * _DENSE) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    levels = [level(unsigned(short["key"]), short["n"].to_numpy(), d) for d in range(_DENSE)]
-    if not len(levels[0][0]):
-        levels[0] = np.zeros(1, np.uint64), np.zeros((1, SYMBOLS))
-
-    def decide(runs: pa.Table) -> pa.Table:
-        own = runs["branch"][0].as_py()
-        kept = kept_contexts(branch_levels(levels, own, unsigned(runs["key"]), runs["n"].to_numpy()))[_DENSE]
-        return pa.table({"branch": pa.array([own] if kept.any() else [], pa.int64())})
-
-    kept = unsigned(grams.groupBy("branch").applyInArrow(decide, "branch long").toArrow()["branch"])
-    top = kept_contexts(levels, needed={_DENSE - 1: suffix(kept, _DENSE - 1)})
-    return StoredTree(alphabet, levels, {d: levels[d][0][top[d]] for d in range(1, _DENSE)}, grams)
-
-
-def added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, row = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(row, np.concatenate([n for _, n in parts])).astype(np.int64)
+    The code of a run is its DEPTH symbols of context, the oldest highest, and then
+    the next symbol; a text begins after DEPTH ends, and its own end is a symbol.
+    """
+    lead = bytes([END]) * DEPTH
+    held: list[bytes] = []
+    owner: list[int] = []
+    size = 0
+    for k, text in enumerate(texts):
+        raw = lead + (text or "").encode().translate(LOWER) + lead[:1]
+        for at in range(DEPTH, len(raw), PIECE_BYTES):
+            held.append(raw[at - DEPTH : at + PIECE_BYTES])
+            owner.append(k)
+            size += len(held[-1])
+            if size >= PIECE_BYTES:
+                yield _codes(held, owner)
+                held, owner, size = [], [], 0
+    if held:
+        yield _codes(held, owner)
+
+
+def _codes(pieces: list[bytes], owner: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint64)
+    code = data[DEPTH:].copy()
+    for k in range(1, DEPTH + 1):
+        code |= data[DEPTH - k : len(data) - k] << np.uint64(8 * k)
+    sizes = np.array([len(p) for p in pieces])
+    first = np.cumsum(sizes) - sizes
+    keep = np.ones(len(code), bool)
+    for k in range(DEPTH):  # contexts that would run over from one piece into the next
+        at = first[1:] - DEPTH + k
+        keep[at[(at >= 0) & (at < len(code))]] = False
+    return code[keep], np.repeat(np.array(owner), sizes - DEPTH)
+
+
+def suffix(code: np.ndarray, n: int) -> np.ndarray:
+    """The last n symbols."""
+    return code & np.uint64((1 << 8 * n) - 1)
 
 
 class Tally:
-    """Counts of keys over batches, given out as rows whenever they are many."""
+    """Counts of keys over batches, given out whenever they are many."""
 
-    def __init__(self, most: int = 1 << 21):
+    def __init__(self, most: int):
         self.most, self.parts, self.size = most, [], 0
 
     def add(self, keys: np.ndarray) -> bool:
-        k, n = np.unique(keys, return_counts=True)
-        self.parts.append((k, n))
-        self.size += len(k)
+        self.parts.append(np.unique(keys, return_counts=True))
+        self.size += len(self.parts[-1][0])
         return self.size > self.most
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = added_up(self.parts) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.parts, self.size = [], 0
-        return out
+        parts, self.parts, self.size = self.parts, [], 0
+        if not parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, row = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(row, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def counted(docs: DataFrame, make_keys, schema: str) -> DataFrame:
-    """Sums by key of what make_keys() counts: a function of a batch, giving keys of each kind."""
+RUN, WORD = 0, 1
+COUNTS = "kind int, key long, n long, m long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_of, tallies = make_keys(), {}
-        for batch in batches:
-            for part in slices(batch):
-                for kind, keys in keys_of(part["text"]).items():
-                    if tallies.setdefault(kind, Tally()).add(keys):
-                        yield rows(kind, *tallies[kind].take())
-        for kind, t in tallies.items():
-            yield rows(kind, *t.take())
 
-    def rows(kind: int, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.uint64).view(np.int64)), pa.array(n, pa.int64())], ["kind", "key", "n"])
+def counted(docs: DataFrame, training: Column) -> DataFrame:
+    """kind, key, n (in training rows), m (in all rows) of the runs and words of docs, stored."""
 
-    return docs.select("text").mapInArrow(run, schema).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    smaller_batches(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies = {(kind, train): Tally(TALLY_KEYS) for kind in (RUN, WORD) for train in (False, True)}
 
-CHARACTER, WORD = 0, 1
-COUNTS = "kind int, key long, n long"
-
+        def given(kind: int, train: bool) -> pa.RecordBatch:
+            keys, n = tallies[kind, train].take()
+            return pa.record_batch([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n * train), pa.array(n)], ["kind", "key", "n", "m"])
 
-def _words_and_characters():
-    def keys(texts: pa.Array) -> dict[int, np.ndarray]:
-        words = words_of(texts, lower=True).hashes
-        return {CHARACTER: code_points(texts.to_pylist())[0], WORD: np.append(words, np.full(len(texts), END_WORD))}
+        for batch in batches:
+            for part in slices(batch):
+                for train in (False, True):
+                    texts = part.filter(pc.equal(part["training"], train))["text"]
+                    if not len(texts):
+                        continue
+                    words = np.append(words_of(texts, lower=True).hashes, np.full(len(texts), END_WORD))
+                    if tallies[WORD, train].add(words):
+                        yield given(WORD, train)
+                    for codes, _ in runs_of(texts.to_pylist()):
+                        if tallies[RUN, train].add(codes):
+                            yield given(RUN, train)
+        for kind, train in tallies:
+            yield given(kind, train)
+
+    rows = docs.select("text", F.coalesce(training, F.lit(False)).alias("training"))
+    return saved(rows.mapInArrow(run, COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts")
+
+
+def pair_probabilities(pairs: list[tuple[int, int]]) -> np.ndarray:
+    """Next-symbol probabilities after each symbol, from counts of pairs (code, n): the contexts of up to one symbol."""
+    counts = np.zeros(SYMBOLS * SYMBOLS)
+    for code, n in pairs:
+        counts[code] = n
+    counts = counts.reshape(SYMBOLS, SYMBOLS)
+    root = counts.sum(0)
+    root = (root + 0.5) / (root.sum() + 0.5 * SYMBOLS)
+    weight = SMOOTHING * (counts > 0).sum(1, keepdims=True)
+    total = counts.sum(1, keepdims=True)
+    return np.where(total > 0, (counts + weight * root) / np.maximum(total + weight, 1e-300), root)
+
+
+@dataclass
+class Level:
+    """Of contexts of one length that occur often enough: sorted runs with their next symbol, and the contexts."""
+
+    runs: np.ndarray
+    n: np.ndarray
+    contexts: np.ndarray
+    of: np.ndarray  # the context of each run
+    total: np.ndarray
+    kinds: np.ndarray
 
-    return keys
+    @classmethod
+    def count(cls, key: np.ndarray, n: np.ndarray, d: int) -> Level:
+        runs, row = np.unique(suffix(key, d + 1), return_inverse=True)
+        sums = np.bincount(row, n, len(runs))
+        contexts, of = np.unique(runs >> _EIGHT, return_inverse=True)
+        often = np.bincount(of, sums, len(contexts)) >= LEAST_COUNT
+        runs, sums, of = runs[often[of]], sums[often[of]], (np.cumsum(often) - 1)[of[often[of]]]
+        contexts = contexts[often]
+        return cls(runs, sums, contexts, of, np.bincount(of, sums, len(contexts)), np.bincount(of, minlength=len(contexts)).astype(float))
+
+    def smoothed(self, base: np.ndarray) -> np.ndarray:
+        weight = SMOOTHING * self.kinds[self.of]
+        return (self.n + weight * base) / (self.total[self.of] + weight)
+
+    def base(self, d: int, shorter: Level | None, p: np.ndarray) -> np.ndarray:
+        """What the context without its oldest symbol says of each run; of two symbols: `p` by pairs."""
+        return p[self.runs & np.uint64(0xFFFF)] if shorter is None else p[np.searchsorted(shorter.runs, suffix(self.runs, d))]
+
+    def only(self, keep: np.ndarray) -> Level:
+        """With those contexts alone."""
+        r = keep[self.of]
+        return Level(self.runs[r], self.n[r], self.contexts[keep], (np.cumsum(keep) - 1)[self.of[r]], self.total[keep], self.kinds[keep])
+
+
+def subtrees(key: np.ndarray, n: np.ndarray, pairs: np.ndarray, divergence: float = DIVERGENCE) -> list[Level]:
+    """The kept contexts of each length from two on, of whole subtrees of runs with their training counts."""
+    seen = n > 0
+    levels, kept, shorter, p = [], [], None, pairs.ravel()
+    for d in range(2, DEPTH + 1):
+        level = Level.count(key[seen], n[seen], d)
+        base = level.base(d, shorter, p)
+        ratio = np.bincount(level.of, level.n * np.log(level.n / level.total[level.of] / base), len(level.contexts))
+        kept.append(2 * ratio > divergence * level.kinds)
+        levels.append(level)
+        shorter, p = level, level.smoothed(base)
+    for k in range(len(levels) - 1, 0, -1):  # what a kept context needs
+        kept[k - 1][np.searchsorted(levels[k - 1].contexts, suffix(levels[k].contexts[kept[k]], k + 1))] = True
+    return [level.only(keep) for level, keep in zip(levels, kept, strict=True)]
+
+
+def found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are among sorted ones, and whether they are."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def log10_of(key: np.ndarray, levels: list[Level], pairs: np.ndarray) -> np.ndarray:
+    """log10 probability of each run's next symbol after its longest kept context."""
+    p, shorter, known = pairs.ravel()[key & np.uint64(0xFFFF)], None, pairs.ravel()
+    for d, level in enumerate(levels, 2):
+        known = level.smoothed(level.base(d, shorter, known))
+        shorter = level
+        context, inside = found(level.contexts, suffix(key >> _EIGHT, d))
+        weight = SMOOTHING * level.kinds[context[inside]]
+        p[inside] *= weight / (level.total[context[inside]] + weight)  # of a symbol that never followed
+        at, seen = found(level.runs, suffix(key, d + 1))
+        p[inside & seen] = known[at[inside & seen]]
+    return np.log10(p)
 
 
 @dataclass(frozen=True)
-class Unigrams:
-    """Base counts: sums, and the hashes (sorted, signed) and counts of the hot words."""
+class Model:
+    """runs: key, n, m and log10 of every run that was counted; words: key, n; both stored.  tokens and kinds of words in training."""
 
+    runs: DataFrame
+    words: DataFrame
     tokens: int
     kinds: int
-    least_hot: int
-    hashes: np.ndarray
-    counts: np.ndarray
 
     @property
     def denominator(self) -> float:
         return self.tokens + 0.1 * (self.kinds + 1)
 
 
-def trained(docs: DataFrame) -> tuple[StoredTree, Unigrams, DataFrame]:
-    """Of training documents: the tree, the word sums with the hot words, and the table of word counts."""
-    counts = saved(counted(docs, _words_and_characters, COUNTS), "counts")
-    frequent = counts.filter(F.col("kind") == CHARACTER).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
-    words = counts.filter(F.col("kind") == WORD).select("key", "n")
-    # counts fall into at most 64 * 16 steps, so the driver gets as many rows
-    step = F.floor(F.log2("n") * 16).cast("int")
-    steps = words.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
-    hot, least_hot = 0, None
-    for s in steps:
-        hot += s["words"]
-        if hot > HOT_WORDS:
-            break
-        least_hot = s["least"]
-    tokens, kinds = sum(s["tokens"] for s in steps), sum(s["words"] for s in steps)
-    least_hot = least_hot if least_hot is not None else (steps[0]["least"] << 32 if steps else 1)
-    top = words.filter(F.col("n") >= least_hot).toArrow()
-    order = np.argsort(k := top["key"].to_numpy())
-    unigrams = Unigrams(tokens, kinds, least_hot, k[order], top["n"].to_numpy()[order])
+def valued(runs: DataFrame) -> DataFrame:
+    """key, n, m, log10 of runs (key, n, m), stored: each subtree is grown and read in one task."""
+    last_two = F.col("key").bitwiseAND(F.lit(0xFFFF)).cast("int")
+    pairs = pair_probabilities([(r["pair"], r["n"]) for r in runs.filter("n > 0").groupBy(last_two.alias("pair")).agg(F.sum("n").alias("n")).collect()])
+    tasks = max(1, round(runs.count() / TASK_RUNS))
+    branch = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
 
-    alphabet = Alphabet.of([r.key for r in frequent])
-    shared = docs.sparkSession.sparkContext.broadcast(alphabet)
+    def grow(group: pa.Table) -> pa.Table:
+        key, n = group["key"].to_numpy().view(np.uint64), group["n"].to_numpy()
+        return group.select(["key", "n", "m"]).append_column("log10", pa.array(log10_of(key, subtrees(key, n, pairs), pairs)))
 
-    def grams():
-        return lambda texts: {0: shared.value.grams(texts.to_pylist())[0]}
+    dealt = runs.select("key", "n", "m", F.pmod(F.xxhash64(branch), F.lit(tasks)).alias("task"))
+    return saved(dealt.groupBy("task").applyInArrow(grow, "key long, n long, m long, log10 double"), "runs")
 
-    return stored_tree(alphabet, counted(docs, grams, COUNTS)), unigrams, words
 
+def learned(docs: DataFrame, training: Column) -> Model:
+    """The model of the rows of docs where `training` holds, with values for the runs of all its rows."""
+    counts = counted(docs, training)
+    words = saved(counts.filter((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n"), "words")
+    runs = valued(counts.filter(F.col("kind") == RUN).select("key", "n", "m"))
+    dropped(counts)
+    sums = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds")).first()
+    return Model(runs, words, sums["tokens"] or 0, sums["kinds"])
 
-HEADS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, block long, text string, rare array<long>, times array<long>"
-SCORES = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
 
+def for_documents(model: Model, docs: DataFrame) -> Model:
+    """The model with values for the runs of further documents, too."""
+    more = counted(docs, F.lit(False)).filter(F.col("kind") == RUN).select("key", "n", "m")
+    both = model.runs.select("key", "n", "m").union(more).groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return Model(valued(both), model.words, model.tokens, model.kinds)
 
-def text_scores(heads: DataFrame, tree: StoredTree) -> DataFrame:
-    """SCORES of heads, a stored table with the block of each row; a block's texts meet the log10 of its distinct runs."""
-    alphabet = heads.sparkSession.sparkContext.broadcast(tree.alphabet)
 
-    def distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts = None, []
-        for batch in batches:
-            for part in slices(batch):
-                blocks = part["block"].to_numpy()
-                for b in np.unique(blocks).tolist():  # rows of a block stand together
-                    if b != own and parts:
-                        yield rows(own, parts)
-                        parts = []
-                    own = b
-                    parts.append(np.unique(alphabet.value.grams(part.filter(pa.array(blocks == b))["text"].to_pylist())[0]))
-                    if sum(map(len, parts[1:])) > 1 << 20:
-                        parts = [np.unique(np.concatenate(parts))]
-        if parts:
-            yield rows(own, parts)
-
-    def rows(b: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.unique(np.concatenate(parts))
-        return pa.record_batch([pa.array(np.full(len(keys), b, np.int64)), pa.array(keys.view(np.int64))], ["block", "key"])
-
-    def score(part: pa.Table, logs: pa.Table) -> pa.Table:
-        keys, log10 = unsigned(logs["key"]), logs["log10"].to_numpy()
-        order = np.argsort(keys)
-        keys, log10, score = keys[order], log10[order], []
-        for batch in part.select(["text"]).combine_chunks().to_batches():
-            for some in slices(batch):
-                code, starts, others = alphabet.value.grams(some["text"].to_pylist())
-                score.append(np.add.reduceat(log10[np.searchsorted(keys, code)].astype(np.float64), starts) + others * OTHER_LOG10)
-        return part.drop_columns(["text", "block"]).append_column("score", pa.array(np.concatenate(score)))
-
-    asked = saved(heads.select("block", "text").mapInArrow(distinct_keys, "block long, key long"), "asked")
-    logs = saved(tree.log10_table(asked.select("key").distinct()), "logs")
-    met = asked.join(logs, "key").select("block", "key", "log10")
-    return heads.drop("rare", "times").groupBy("block").cogroup(met.groupBy("block")).applyInArrow(score, SCORES)
-
-
-def scored(docs: DataFrame, tree: StoredTree, unigrams: Unigrams, words: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Hot:
+    """The keys that occur most (sorted) and their values."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, rows: DataFrame, times: str, value: str, most: int) -> tuple[Hot, int]:
+        """At most `most` rows (key, ...), those that occur most, and how often one of them occurs at least.
+
+        How many keys occur about how often is one row for each sixteenth of a power of two.
+        """
+        step = F.floor(F.log2(times) * 16).cast("int")
+        steps = rows.groupBy(step.alias("step")).agg(F.count("*").alias("keys"), F.min(times).alias("least")).orderBy(F.desc("step")).collect()
+        total, least = 0, 1 << 62
+        for s in steps:
+            total += s["keys"]
+            if total > most:
+                break
+            least = s["least"]
+        top = rows.filter(F.col(times) >= least).select("key", value).toArrow()
+        order = np.argsort(k := top["key"].to_numpy())
+        return cls(k[order], top[value].to_numpy()[order]), least
+
+
+HEADS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, word_times array<long>, runs array<long>, run_times array<long>"
+
+
+def rest_of(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Different keys of each of n owners and how often each occurs; owners are in order."""
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    pairs = [np.unique(keys[a:b], return_counts=True) for a, b in zip(bounds, bounds[1:])]
+    return [k for k, _ in pairs], [c for _, c in pairs]
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
-    A null or empty text is its end alone.  Rows with a null doc_id are in the
-    training part; repeated rows count and are scored each; other columns don't
-    matter; an empty table gives an empty result.
+    A null or empty text is its end alone; a text of any length is cut into pieces.
+    Rows with a null doc_id are in the training part; repeated rows count and are
+    scored each; other columns don't matter; an empty table gives an empty result.
+    A text with runs that the model has no values for has a null score (see
+    for_documents).
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(unigrams)
-    unknown = math.log10(0.1 / unigrams.denominator)
+    words, least_word = Hot.of(model.words, "n", "n", HOT_WORDS)
+    runs, least_run = Hot.of(model.runs, "m", "log10", HOT_RUNS)
+    shared = spark.sparkContext.broadcast((words, runs))  # of a fixed size
+    unknown = math.log10(0.1 / model.denominator)
+    denominator = model.denominator
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         from pyspark import TaskContext
 
-        hot = shared.value
-        row = block = TaskContext.get().partitionId() << 40
-        size = 0
-        log_of = np.append(np.log10((hot.counts + 0.1) / hot.denominator), 0.0)
-        for batch in batches:
+        hot_words, hot_runs = shared.value
+        log_of = np.append(np.log10((hot_words.values + 0.1) / denominator), 0.0)
+        at_row = [TaskContext.get().partitionId() << 40]
+
+        def head(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch):
-                if size > BLOCK_BYTES:
-                    block, size = block + 1, 0
-                size += part["text"].nbytes
+                texts = part["text"].to_pylist()
                 w = words_of(part["text"], lower=True)
                 n = np.diff(w.bounds) + 1
-                ends = w.bounds[1:]
-                hashes = np.insert(w.hashes, ends, END_WORD).view(np.int64)
-                starts = w.bounds[:-1] + np.arange(len(n))
-                at = np.minimum(np.searchsorted(hot.hashes, hashes), max(len(hot.hashes) - 1, 0))
-                known = hot.hashes[at] == hashes if len(hot.hashes) else np.zeros(len(hashes), bool)
-                base = np.add.reduceat(np.where(known, log_of[at], 0.0), starts)
-                n_known = np.add.reduceat(known.astype(np.int64), starts)
-                rare, times = [], []
-                cold = np.flatnonzero(~known)
-                for a, b in zip(*(np.searchsorted(cold, x) for x in (starts, starts + n)), strict=True):
-                    k, c = np.unique(hashes[cold[a:b]], return_counts=True)
-                    rare.append(k)
-                    times.append(c)
+                hashes = np.insert(w.hashes, w.bounds[1:], END_WORD).view(np.int64)
+                owner = np.repeat(np.arange(len(n)), n)
+                at, known = found(hot_words.keys, hashes)
+                base = np.bincount(owner, np.where(known, log_of[at], 0.0), len(n))
+                n_known = np.bincount(owner, known, len(n)).astype(np.int64)
+                rest = rest_of(hashes[~known], owner[~known], len(n))
+                score, keys, owners = np.zeros(len(n)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for codes, text_of in runs_of(texts):
+                    distinct, which = np.unique(codes.view(np.int64), return_inverse=True)
+                    at, hit = found(hot_runs.keys, distinct)
+                    value = np.where(hit, hot_runs.values[at] if len(hot_runs.values) else 0.0, 0.0)
+                    score += np.bincount(text_of, value[which], len(n))
+                    cold = ~hit[which]
+                    keys.append(distinct[which[cold]])
+                    owners.append(text_of[cold])
+                cold_runs = rest_of(np.concatenate(keys), np.concatenate(owners), len(n))
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (*rest, *cold_runs)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(len(n))), part["doc_id"], part["held_out"], pa.array(n, pa.int64()), pa.array(n_known), pa.array(base), pa.array(np.full(len(n), block)), part["text"], pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "block", "text", "rare", "times"],
+                    [pa.array(at_row[0] + np.arange(len(n))), part["doc_id"], part["held_out"], pa.array(n, pa.int64()), pa.array(n_known), pa.array(base), pa.array(score), *lists],
+                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "word_times", "runs", "run_times"],
                 )
-                row += len(n)
+                at_row[0] += len(n)
+
+        return head
 
-    heads = saved(docs.select(F.col("doc_id").cast("long"), "text").withColumn("held_out", is_held_out(F.col("doc_id"))).mapInArrow(run, HEADS), "heads")
-    rest = heads.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    cold = words.filter(F.col("n") < unigrams.least_hot)
-    met = rest.join(cold, "key").groupBy("row").agg(F.sum("times").alias("cold"), F.sum(F.col("times") * F.log10((F.col("n") + 0.1) / F.lit(unigrams.denominator))).alias("cold_base"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("held_out", is_held_out(F.col("doc_id")))
+    heads = saved(map_batches(rows, make, HEADS), "heads")
+    each = lambda keys, times: heads.select("row", F.explode(F.arrays_zip(keys, times)).alias("x")).select("row", F.col(f"x.{keys}").alias("key"), F.col(f"x.{times}").alias("times"))
+    of_words = each("words", "word_times").join(model.words.filter(F.col("n") < least_word), "key")
+    of_words = of_words.groupBy("row").agg(F.sum("times").alias("cold"), F.sum(F.col("times") * F.log10((F.col("n") + 0.1) / F.lit(denominator))).alias("cold_base"))
+    of_runs = each("runs", "run_times").join(model.runs.filter(F.col("m") < least_run).select("key", "log10"), "key", "left")
+    of_runs = of_runs.groupBy("row").agg(F.when(F.count("*") == F.count("log10"), F.sum(F.col("times") * F.col("log10"))).alias("cold_score"))
     n_known = F.col("known") + F.coalesce("cold", F.lit(0))
-    return text_scores(heads, tree).join(met, "row", "left").select(
+    all_hot = F.size("runs") == 0
+    return heads.join(of_words, "row", "left").join(of_runs, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         n_known.alias("n_known"),
-        F.lit(unigrams.tokens).cast("long").alias("train_tokens"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("cold_base", F.lit(0.0)) + (F.col("n_tokens") - n_known) * unknown).alias("base_score"),
-        "score",
+        F.when(all_hot, F.col("score")).otherwise(F.col("score") + F.col("cold_score")).alias("score"),
     )
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scored(docs, *trained(docs.filter(~is_held_out(F.col("doc_id")))))
+    return scored(docs, learned(docs, ~is_held_out(F.col("doc_id"))))

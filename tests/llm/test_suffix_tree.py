@@ -27,25 +27,30 @@ def brute_base(rows):
 
 def brute_tree(rows, divergence=st.DIVERGENCE):
     """log10 score of a text by dictionaries, the way the module's text says."""
-    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
-    train = [low(t) for i, t in rows if not held_out(i)]
-    frequent = [c for c, _ in sorted(Counter("".join(train)).items(), key=lambda x: (-x[1], x[0]))[: st.FREQUENT]]
-    number = {c: k for k, c in enumerate(frequent)}
-    stream = lambda t: [st.END] * st.DEPTH + [number.get(c, st.OTHER) for c in t] + [st.END]
+    stream = lambda t: [st.END] * st.DEPTH + list("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode()) + [st.END]
     counts = {}
-    for t in train:
-        s = stream(t)
+    for i, t in rows:
+        s = stream(t) if not held_out(i) else []
         for p in range(st.DEPTH, len(s)):
             for d in range(st.DEPTH + 1):
                 counts.setdefault(tuple(s[p - d : p]), Counter())[s[p]] += 1
     rough, kept = {}, {()}
-    least = max(st.LEAST_COUNT, math.ceil(st.LEAST_SHARE * sum(counts.get((), Counter()).values())))
-    for context in sorted((c for c, n in counts.items() if sum(n.values()) >= (least if c else 1)), key=len):
-        n, total, kinds = counts[context], sum(counts[context].values()), len(counts[context])
-        parent = rough[context[1:]] if context else [1 / st.SYMBOLS] * st.SYMBOLS
-        rough[context] = [(n[x] + st.SMOOTHING * kinds * parent[x]) / (total + st.SMOOTHING * kinds) for x in range(st.SYMBOLS)]
-        ratio = 2 * sum(c * math.log(c / total / parent[x]) for x, c in n.items())
-        if context and ratio > divergence * kinds:
+
+    def smoothed(context, parent):
+        n = counts.get(context, Counter())
+        total, kinds = sum(n.values()), len(n)
+        if not context:
+            return [(n[x] + 0.5) / (total + 0.5 * st.SYMBOLS) for x in range(st.SYMBOLS)]
+        return [(n[x] + st.SMOOTHING * kinds * parent[x]) / (total + st.SMOOTHING * kinds) for x in range(st.SYMBOLS)]
+
+    for context in sorted((c for c, n in counts.items() if sum(n.values()) >= (st.LEAST_COUNT if len(c) > 1 else 1)), key=len):
+        parent = rough[context[1:]] if context else None
+        rough[context] = smoothed(context, parent)
+        if len(context) < 2:
+            kept.add(context)
+            continue
+        n, total = counts[context], sum(counts[context].values())
+        if 2 * sum(c * math.log(c / total / parent[x]) for x, c in n.items()) > divergence * len(n):
             kept.update(context[k:] for k in range(len(context)))
     final = {}
 
@@ -53,19 +58,12 @@ def brute_tree(rows, divergence=st.DIVERGENCE):
         while context not in kept:
             context = context[1:]
         if context not in final:
-            n = counts.get(context, Counter())
-            total, kinds = sum(n.values()), len(n)
-            if not context:
-                final[context] = [(n[x] + 0.5) / (total + 0.5 * st.SYMBOLS) for x in range(st.SYMBOLS)]
-            else:
-                parent = distribution(context[1:])
-                final[context] = [(n[x] + st.SMOOTHING * kinds * parent[x]) / (total + st.SMOOTHING * kinds) for x in range(st.SYMBOLS)]
+            final[context] = smoothed(context, distribution(context[1:]) if context else None)
         return final[context]
 
     def score(t):
-        s = stream(low(t))
-        logs = [math.log10(distribution(tuple(s[p - st.DEPTH : p]))[s[p]]) for p in range(st.DEPTH, len(s))]
-        return sum(logs) + s.count(st.OTHER) * st.OTHER_LOG10
+        s = stream(t)
+        return sum(math.log10(distribution(tuple(s[p - st.DEPTH : p]))[s[p]]) for p in range(st.DEPTH, len(s)))
 
     return score
 
@@ -79,13 +77,21 @@ def compare(rows, got):
         assert g[5:] == pytest.approx(w[5:], rel=1e-5)
 
 
-def test_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(st, "HOT_WORDS", 5)
-    texts = [None, "", " ", "The cat sat. " * 30, "the Cat\tSAT\x0b on 漢字 😀", "x" * 3000, "".join(chr(200 + k % 90) for k in range(900)), "the dog sat on the mat " * 9]
-    rows = [(k if k % 11 else None, texts[k % len(texts)]) for k in range(60)] + [(3, "again"), (3, "again")]
+def ours(df):
+    return st.scored(df, st.learned(df, ~st.is_held_out(df.doc_id)))
+
+
+TEXTS = [None, "", " ", "The cat sat. " * 30, "the Cat\tSAT\x0b on 漢字 😀", "x" * 3000, "".join(chr(200 + k % 90) for k in range(900)), "кот сидел на ковре и смотрел " * 8, "the dog sat on the mat " * 9]
+
+
+@pytest.mark.parametrize("hot", [5, 1 << 18])
+def test_odd_rows(spark, monkeypatch, hot):
+    for name, value in {"HOT_WORDS": hot, "HOT_RUNS": hot, "PIECE_BYTES": 700 if hot == 5 else st.PIECE_BYTES, "TASK_RUNS": 300 if hot == 5 else st.TASK_RUNS}.items():
+        monkeypatch.setattr(st, name, value)
+    rows = [(k if k % 11 else None, TEXTS[k % len(TEXTS)]) for k in range(60)] + [(3, "again"), (3, "again")]
     df = spark.createDataFrame([(i, t, True) for i, t in rows], "doc_id long, text string, held_out boolean")
-    compare(rows, st.scored(df, *st.trained(df.filter(~st.is_held_out(df.doc_id)))).collect())
-    assert st.scored(df.limit(0), *st.trained(df.limit(0))).count() == 0
+    compare(rows, ours(df).collect())
+    assert ours(df.limit(0)).count() == 0
 
 
 def test_query_against_brute_force(spark, small):
@@ -93,29 +99,39 @@ def test_query_against_brute_force(spark, small):
     compare(rows, st.op7(spark, small.dir).collect())
 
 
+def test_further_documents(spark):
+    rows = [(k, TEXTS[k % len(TEXTS)]) for k in range(40)]
+    more = [(k, t) for k, t in zip((k for k in range(100, 300) if held_out(k)), ["the cat sat on a mat", "ковёр", "quite other text: 0123"], strict=False)]
+    df, new = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows, more))
+    model = st.learned(df, ~st.is_held_out(df.doc_id))
+    assert any(r.score is None for r in st.scored(new, model).collect())
+    score = brute_tree(rows)
+    got = {r.doc_id: r.score for r in st.scored(new, st.for_documents(model, new)).collect()}
+    assert got == {i: pytest.approx(score(t), rel=1e-9) for i, t in more}
+
+
 def test_distributions_sum_to_one():
     rng = np.random.default_rng(3)
-    levels = []
-    for d in range(st.DEPTH + 1):
-        contexts = np.arange(4**d, dtype=np.uint64)
-        for k in range(d):  # all runs of the symbols 0 to 3
-            contexts = (contexts & ~np.uint64(63 << 6 * k)) | (((np.arange(4**d) >> 2 * k) & 3) << 6 * k).astype(np.uint64) if k else ((np.arange(4**d) & 3)).astype(np.uint64)
-        levels.append((np.unique(contexts), rng.integers(0, 50, (len(np.unique(contexts)), 64)).astype(float)))
-    tree = st.grown(st.Alphabet.of([97]), levels)
-    assert np.allclose((10.0 ** tree.log10_next.astype(float)).sum(1), 1, atol=1e-4)
-    assert tree.states(np.zeros(3, np.uint64)).max() < len(tree.log10_next)
+    symbols = rng.integers(97, 101, 4000)
+    text = bytes(symbols.tolist()).decode()
+    codes = np.concatenate([c for c, _ in st.runs_of([text])])
+    key, n = np.unique(codes, return_counts=True)
+    pairs = st.pair_probabilities([(int(p), int(c)) for p, c in zip(*np.unique(codes & np.uint64(0xFFFF), return_counts=True), strict=True)])
+    assert np.allclose(pairs.sum(1), 1)
+    levels = st.subtrees(key, n, pairs)
+    assert len(levels[-1].contexts) > 0
+    for context in key[:: len(key) // 50] >> np.uint64(8):
+        every = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        assert (10 ** st.log10_of(every, levels, pairs)).sum() == pytest.approx(1)
 
 
 def test_held_out_texts_score_better_than_by_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    held = [r for r in st.scored(docs, *st.trained(docs.filter(~st.is_held_out(docs.doc_id)))).collect() if r.held_out]
+    held = [r for r in ours(docs).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_contexts_stay_in_a_larger_corpus(spark, monkeypatch):
+def test_contexts_stay_in_a_larger_corpus(spark):
     """Seen five times among 1.5 million symbols: kept by count and divergence, whatever the corpus."""
     rows = [(k, "the cat sat on the mat and " * 1200) for k in range(50)] + [(k, "the quick zebra") for k in range(100, 130) if not held_out(k)][:5] + [(k, "quick zebra") for k in range(200, 260) if held_out(k)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = st.scored(df, *st.trained(df.filter(~st.is_held_out(df.doc_id)))).collect()
-    monkeypatch.setattr(st, "LEAST_SHARE", 0.0)  # of the brute-force version
-    compare(rows, got)
+    compare(rows, ours(spark.createDataFrame(rows, "doc_id long, text string")).collect())
