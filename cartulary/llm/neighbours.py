@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, mix64, saved, table
 
 #: Rows that the parts are learned from at most (those with the smallest hash of their id), sample rows of a part, and parts at most.
-SAMPLE_ROWS = 8192
+SAMPLE_ROWS = 6144
 PART_ROWS = 4
 MOST_PARTS = 512
 NEIGHBOURS = 10
@@ -53,8 +53,8 @@ def nearest(a: np.ndarray, b: np.ndarray, k: int, same: bool) -> np.ndarray:
     """Indices in b of the k nearest of each row of a; `same`: a is b and a row isn't its own."""
     k = min(k, len(b) - same)
     out = [np.zeros((0, k), np.int64)]
-    for at in range(0, len(a), 1024):
-        d = squared(a[at : at + 1024], b)
+    for at in range(0, len(a), 256):
+        d = squared(a[at : at + 256], b)
         if same:
             d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
         out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
@@ -78,7 +78,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, slack: float =
         centres = np.stack([x[label == p].mean(0) if (label == p).any() else centres[p] for p in range(parts)])
     edges = np.concatenate([np.column_stack([np.repeat(np.arange(len(x)), graph.shape[1]), graph.ravel()]), np.column_stack([graph.ravel(), np.repeat(np.arange(len(x)), graph.shape[1])])])
     for _ in range(rounds):
-        pull = np.zeros((len(x), parts))
+        pull = np.zeros((len(x), parts), np.float32)
         np.add.at(pull, (edges[:, 0], label[edges[:, 1]]), 1)
         gain = pull.max(1) - pull[np.arange(len(x)), label]
         moved = 0
@@ -103,6 +103,7 @@ class Router:
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         direct, bias, a, b, c = self.weights
+        x = x.astype(np.float32)
         z = x @ direct + bias + np.maximum(x @ a + b, 0) @ c
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
@@ -114,6 +115,7 @@ def fit_router(x: np.ndarray, target: np.ndarray, centres: np.ndarray, hidden: i
     n, parts = x.shape[1], target.shape[1]
     sharp = 8.0 / max(float(np.sqrt((centres**2).sum(1)).mean() * np.sqrt((x**2).sum(1)).mean()), 1e-12)
     w = [sharp * centres.T, -0.5 * sharp * (centres**2).sum(1), rng.standard_normal((n, hidden)) * np.sqrt(2 / n) / max(float(np.sqrt((x**2).mean() * n)), 1e-12), np.zeros(hidden), np.zeros((hidden, parts))]
+    w = [p.astype(np.float32) for p in w]
     first, second = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
     step = 0
     for _ in range(epochs):
@@ -127,7 +129,7 @@ def fit_router(x: np.ndarray, target: np.ndarray, centres: np.ndarray, hidden: i
             for k, g in enumerate((x[rows].T @ dz + 1e-4 * w[0], dz.sum(0), x[rows].T @ dh + 1e-4 * w[2], dh.sum(0), h.T @ dz + 1e-4 * w[4])):
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                w[k] = w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                w[k] = (w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return Router(tuple(w))
 
 
@@ -154,11 +156,12 @@ class Index:
 
 
 def learned(x: np.ndarray, most_parts: int = MOST_PARTS, recall: float = RECALL, part_rows: int = PART_ROWS) -> Index:
-    """The index of a sample of at least two rows."""
+    """The index of a sample of at least two rows, learned in single precision."""
+    x = x.astype(np.float32)
     parts = max(1, min(most_parts, len(x) // part_rows))
     graph = nearest(x, x, NEIGHBOURS, same=True)
     label = balanced_parts(x, graph, parts)
-    target = np.zeros((len(x), parts))
+    target = np.zeros((len(x), parts), np.float32)
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph].ravel()), 1.0)
     target[np.arange(len(x)), label] += 1
     target /= target.sum(1, keepdims=True)
