@@ -41,7 +41,7 @@ PER_COLLECTION = 2
 #: Chance that a pair right at the threshold shares no table.
 MISS = 1e-5
 #: Expected shingles of a block of a family, all its sets together.
-BLOCK_SHINGLES = 1 << 19
+BLOCK_SHINGLES = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -340,4 +340,4 @@ def with_fingerprints(docs: DataFrame, width: int, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, prints], [*part.schema.names, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
-    return docs.mapInArrow(lambda batches: (out for b in batches for out in mark(b)), schema)
+    return map_batches(docs, lambda: mark, schema)

@@ -236,7 +236,7 @@ def only_kept(docs: DataFrame, trees: Trees, keep_score: float = KEEP_SCORE) ->
             base, x = measured(part["text"])
             yield part.filter(pa.array(~base_failed(base) & (trees.score(x) >= keep_score)))
 
-    return docs.mapInArrow(lambda batches: (out for b in batches for out in keep(b)), docs.schema)
+    return map_batches(docs, lambda: keep, docs.schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

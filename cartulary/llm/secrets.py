@@ -412,7 +412,7 @@ def redacted(docs: DataFrame, mark: str = MARK) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([n if n is None or t is None else len(t) for n, t in zip(old.to_pylist(), texts, strict=True)], old.type)
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(lambda batches: (out for b in batches for out in change(b)), docs.schema)
+    return map_batches(docs, lambda: change, docs.schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BATCH_BYTES
-from .common import exchange_count, fresh_path, library_chunks, saved, slices, table
+from .common import exchange_count, fresh_path, library_chunks, saved, slices, smaller_batches, table
 
 SEQUENCE = 2048
 BATCH_ROWS = 64
@@ -103,6 +103,7 @@ def write_files(docs: DataFrame, vocabulary: str, at: str, length: int = SEQUENC
     repeated rows follow each other, other columns don't matter, and an empty
     table has no files.
     """
+    smaller_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     dealt = rows.repartitionByRange(exchange_count(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
 
