@@ -24,7 +24,7 @@ from .common import table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A text without any of these has no detection; every rule's keyword holds one.
-ANCHORS = ("licen", "copyright", "spdx", "gpl", " cc by ", " cc0 ", "creative commons", "public domain", "permission is", "permission to", "written permission", "copy modify and or distribute", "redistribution", "rights reserved", "free software", "warranty")
+ANCHORS = ("licen", "copyright", "spdx", "gpl", " cc by ", " cc0 ", "creative commons", "public domain", "permission is", "permission to", "written permission", "copy modify and or distribute", "permission notice", "redistribution", "shall not be used in advertising", "all advertising materials", "may not be called apache", "warranties", "rights reserved", "free software", "warranty")
 PRIORITIES = 4
 
 
@@ -43,7 +43,7 @@ BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apa
 
 #: Licenses by label: (keyword that every mention holds, what its name looks like as words).
 NAMES = {
-    "mit": [("mit licen", r"mit (?:x11 )?licen[cs]e"), ("expat licen", r"expat licen[cs]e")],
+    "mit": [("mit licen", r"mit licen[cs]e"), ("mit x11 licen", r"mit x11 licen[cs]e"), ("expat licen", r"expat licen[cs]e")],
     "x11": [("x11 licen", r"x11 licen[cs]e")],
     "apache-2": [("apache licen", r"apache licen[cs]e(?: version)? (?:2|v2)(?: 0)?"), ("apache 2 0 licen", r"apache 2 0 licen[cs]e")],
     "apache-1.1": [("apache software licen", r"apache software licen[cs]e(?: version)? 1 1")],
@@ -126,6 +126,80 @@ NOTICES = (
     ("zlib", "permission is granted", r"permission is granted to anyone to use this software for any purpose", 0.85),
     ("cc-by-nc", "creative commons", r"creative commons [^.]{0,40}non ?commercial(?: licen[cs]e)?", 0.7),
     ("cc", "creative commons", r"creative commons licen[cs]e", 0.6),
+    ("mit", "permission notice shall be included in all copies", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.8),
+    ("mit-0", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction[^.]{1,300} to permit persons to whom the software is furnished to do so the software is provided as is", 0.9),
+    ("x11", "shall not be used in advertising", r"the name of the x consortium shall not be used in advertising or otherwise to promote the sale[^.]{1,120} without prior written authorization", 0.85),
+    ("isc", "copyright notice and this permission notice appear in all copies", r"provided that the above copyright notice and this permission notice appear in all copies", 0.7),
+    ("bsd", "redistributions of source code must retain", r"redistributions of source code must retain the above copyright notice", 0.85),
+    ("bsd", "redistributions in binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice", 0.85),
+    ("bsd-4", "all advertising materials mentioning features", r"all advertising materials mentioning features or use of this software must display the following acknowledgements? copyright|all advertising materials mentioning features or use of this software must display the following acknowledgement", 0.9),
+    ("bsd", "warranties including but not limited to", r"any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", 0.5),
+    ("0bsd", "permission to use copy modify and or distribute this software", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", 0.85),
+    ("apache-2", "apache licen", r"licensed under the apache licen[cs]e version 2 0 the licen[cs]e", 0.95),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the licen", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis", 0.9),
+    ("apache-2", "contributor licen", r"licensed to the [^.]{1,60} under one or more contributor licen[cs]e agreements", 0.8),
+    ("apache-1.1", "products derived from this software may not be called apache", r"products derived from this software may not be called apache nor may apache appear in their name without prior written permission", 0.9),
+    ("gpl", "general public licen", r"you should have received a copy of the gnu general public licen[cs]e along with this", 0.8),
+    ("gpl-2", "general public licen", r"as published by the free software foundation either version 2 of the licen[cs]e or at your option any later version[^.]{0,200} general public licen[cs]e", 0.9),
+    ("gpl-2", "general public licen", r"under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 2 of the licen[cs]e", 0.95),
+    ("gpl-3", "general public licen", r"under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e", 0.95),
+    ("gpl-2", "general public licen", r"under the terms of version 2 of the gnu general public licen[cs]e", 0.95),
+    ("gpl-3", "general public licen", r"gnu general public licen[cs]e version 3 29 june 2007", 1.0),
+    ("gpl-2", "general public licen", r"gnu general public licen[cs]e version 2 june 1991", 1.0),
+    ("lgpl-2.1", "lesser general public licen", r"gnu lesser general public licen[cs]e version 2 1 february 1999", 1.0),
+    ("lgpl-2.1", "lesser general public licen", r"under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation either version 2 1 of the licen[cs]e", 0.95),
+    ("lgpl-3", "lesser general public licen", r"under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e", 0.95),
+    ("agpl-3", "affero general public licen", r"under the terms of the gnu affero general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e", 0.95),
+    ("agpl-3", "affero general public licen", r"gnu affero general public licen[cs]e version 3 19 november 2007", 1.0),
+    ("gpl-classpath", "free software", r"free software foundation[^.]{0,200} designates this particular file as subject to the classpath exception", 0.9),
+    ("gpl", "licen", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed", 0.7),
+    ("gfdl", "free documentation licen", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", 0.95),
+    ("mpl-2", "mozilla public licen", r"if a copy of the mpl was not distributed with this file you can obtain one at [^.]{0,40}mozilla public licen[cs]e", 0.7),
+    ("mpl-1.1", "mozilla public licen", r"the contents of this file are subject to the mozilla public licen[cs]e version 1 1", 0.95),
+    ("npl-1.1", "netscape public licen", r"the contents of this file are subject to the netscape public licen[cs]e", 0.95),
+    ("epl-1", "eclipse public licen", r"all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v1 0", 0.95),
+    ("epl-2", "eclipse public licen", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e 2 0", 0.95),
+    ("cddl-1", "common development and distribution licen", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e", 0.95),
+    ("eupl", "european union public licen", r"licensed under the eupl version 1 [12][^.]{0,120} european union public licen[cs]e", 0.9),
+    ("cecill", "licen", r"this software is governed by the cecill(?: [bc])? licen[cs]e under french law", 0.95),
+    ("artistic", "licen", r"same terms as perl itself[^.]{0,80} licen[cs]e", 0.5),
+    ("zlib", "permission is granted", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", 0.95),
+    ("zlib", "copyright", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software[^.]{0,200} copyright", 0.6),
+    ("boost-1", "boost software licen", r"distributed under the boost software licen[cs]e version 1 0", 0.95),
+    ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain", 0.95),
+    ("wtfpl", "public licen", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document[^.]{0,120} public licen[cs]e", 0.8),
+    ("cc0", "creative commons", r"to the extent possible under law [^.]{1,120} has waived all copyright and related or neighboring rights[^.]{0,160} creative commons", 0.9),
+    ("cc-by", "creative commons attribution", r"this work is licensed under (?:a|the) creative commons attribution [1-4] [05] (?:international|unported|generic) licen[cs]e", 0.95),
+    ("cc-by-sa", "creative commons attribution", r"this work is licensed under (?:a|the) creative commons attribution share ?alike [1-4] [05] (?:international|unported|generic) licen[cs]e", 0.95),
+    ("cc-by-nd", "creative commons attribution", r"this work is licensed under (?:a|the) creative commons attribution no ?deriv(?:ative)?s [1-4] [05] (?:international|unported|generic) licen[cs]e", 0.95),
+    ("cc-by-nc", "creative commons attribution", r"this work is licensed under (?:a|the) creative commons attribution non ?commercial [1-4] [05] (?:international|unported|generic) licen[cs]e", 0.95),
+    ("python-2", "python software foundation licen", r"psf licen[cs]e agreement for python [23][^.]{0,120} python software foundation licen[cs]e", 0.9),
+    ("php-3", "licen", r"this source file is subject to version 3 0?1? ?of the php licen[cs]e", 0.95),
+    ("openssl", "copyright", r"this product includes software developed by the openssl project[^.]{0,120} copyright", 0.8),
+    ("openssl", "written permission", r"the names openssl toolkit and openssl project must not be used to endorse or promote products[^.]{0,120} written permission", 0.9),
+    ("postgresql", "permission to use copy modify and distribute this software", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 0.9),
+    ("ncsa", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction", 0.9),
+    ("curl", "permission to use copy modify and distribute this software", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 0.85),
+    ("hpnd", "permission to use copy modify and distribute this software", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and without fee )?is hereby granted", 0.8),
+    ("unicode", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", 0.95),
+    ("w3c", "permission to", r"permission to copy modify and distribute this work with or without modification for any purpose and without fee or royalty is hereby granted", 0.9),
+    ("json", "copyright", r"the software shall be used for good not evil[^.]{0,200} copyright", 0.7),
+    ("beerware", "licen", r"the beer ?ware licen[cs]e", 0.9),
+    ("ofl-1.1", "open font licen", r"this font software is licensed under the sil open font licen[cs]e version 1 1", 0.95),
+    ("odbl", "open database licen", r"made available under the open database licen[cs]e", 0.95),
+    ("bsl-1.1", "business source licen", r"change date [^.]{0,40} change licen[cs]e [^.]{0,80} business source licen[cs]e", 0.9),
+    ("elastic-2", "elastic licen", r"you may not use this file except in compliance with the elastic licen[cs]e", 0.95),
+    ("commercial", "licen", r"this software is licensed not sold", 0.8),
+    ("commercial", "licen", r"end user licen[cs]e agreement", 0.8),
+    ("proprietary", "copyright", r"confidential and proprietary[^.]{0,120} copyright", 0.7),
+    ("proprietary", "written permission", r"unauthori[sz]ed copying of this file via any medium is strictly prohibited[^.]{0,160} written permission", 0.8),
+    ("proprietary", "written permission", r"may not be (?:reproduced|copied|distributed|published)[^.]{0,160} without (?:the )?(?:prior |express )?written permission", 0.7),
+    ("proprietary", "licen", r"no licen[cs]e (?:express or implied )?is granted", 0.7),
+    ("non-commercial", "licen", r"licen[cs]ed? (?:only )?for (?:personal and )?non ?commercial use(?: only)?", 0.7),
+    ("research-only", "licen", r"licen[cs]ed? for (?:academic|research|educational)(?: and (?:academic|research|educational))? (?:use|purposes) only", 0.8),
+    ("dual", "licen", r"dual licensed under", 0.5),
+    ("copyright", "rights reserved", r"some rights reserved", 0.4),
+    ("copyright", "copyright", r"copyright by the authors?", 0.4),
 )
 
 
@@ -202,7 +276,8 @@ def scanned(docs: DataFrame, some: list[Rule] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row.
 
     Words are numbered from 0.  A null or empty text has no words, no places and
-    empty labels; null doc_ids and repeated rows stay as they are; other columns
+    empty labels; a text of any length is one string, read by each rule whose
+    keyword it holds.  Null doc_ids and repeated rows stay as they are; other columns
     don't matter; an empty table gives an empty result.
     """
     some = rules() if some is None else some

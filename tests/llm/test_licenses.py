@@ -1,5 +1,7 @@
 import random
 import re
+from itertools import product
+from re import _parser as parser
 
 from cartulary.llm import licenses
 
@@ -45,7 +47,7 @@ def rows_of(df):
 
 def test_rules_are_hundreds_and_gated():
     rules = licenses.rules()
-    assert len(rules) > 200 and {r.priority for r in rules} == set(range(licenses.PRIORITIES))
+    assert len(rules) > 350 and len(licenses.NOTICES) > 80 and {r.priority for r in rules} == set(range(licenses.PRIORITIES))
     assert all(any(a in r.keyword for a in licenses.ANCHORS) for r in rules)
 
 
@@ -98,3 +100,39 @@ def test_notices_pass_their_gates(spark):
         words = f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', text.lower()))} "
         for r in licenses.rules():
             assert not re.search(f"(?<= ){r.pattern}(?= )", words) or r.keyword in words, r
+
+
+def ways(tree):
+    """Texts that a parsed pattern matches: every alternative, what may be missing both there and not, repeats at their least."""
+    out = [""]
+    for kind, value in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            some = [chr(value)]
+        elif name == "NOT_LITERAL":
+            some = ["x"]
+        elif name == "IN":
+            some = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in value] if str(value[0][0]) != "NEGATE" else ["x"]
+        elif name == "BRANCH":
+            some = [w for t in value[1] for w in ways(t)]
+        elif name == "SUBPATTERN":
+            some = ways(value[3])
+        else:
+            assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
+            low, high, inner = value
+            some = [w * low for w in ways(inner)] + (ways(inner) if low == 0 else [])
+        out = [a + b for a, b in product(out, sorted(set(some)))]
+    return out
+
+
+def test_every_alternative_passes_its_keyword_and_an_anchor():
+    for r in licenses.rules():
+        for w in ways(parser.parse(r.pattern)):
+            assert r.keyword in f" {w} ", (r, w)
+            assert any(a in f" {w} " for a in licenses.ANCHORS), (r, w)
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 60_000 + "released under the MIT X11 license"
+    r = licenses.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_words == 60_006 and "mit" in r.labels.split(",")
