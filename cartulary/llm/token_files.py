@@ -99,13 +99,16 @@ def open_stream(uri: str) -> pa.RecordBatchStreamReader:
 def write_files(docs: DataFrame, vocabulary: str, at: str, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Writes the files below the URI `at`; returns their manifest, a stored table.
 
-    A null or empty text is the end id alone.  Rows with a null doc_id come first,
-    repeated rows follow each other, other columns don't matter, and an empty
-    table has no files.
+    A null or empty text is the end id alone; a text of any length is encoded by
+    one worker, beside a batch of about BATCH_BYTES.  Rows with a null doc_id come
+    first; rows that repeat a doc_id follow each other, in the order of their texts'
+    hashes; other columns don't matter, and an empty table has no files.
     """
     smaller_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    dealt = rows.repartitionByRange(exchange_count(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    # rows that share a doc_id, or have none, may lie in several ranges: their texts' hashes order them
+    order = ("doc_id", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(exchange_count(docs.sparkSession), *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

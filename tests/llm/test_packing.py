@@ -65,9 +65,10 @@ def test_pieces_and_places(spark, small):
 
 
 def test_many_shards(spark):
-    cut = saved(spark.range(3000).selectExpr("id as doc_id", "1 + id % 700 as length", "'x' as offset_", "id as extra"), "t")
+    cut = saved(spark.range(3000).selectExpr("id as doc_id", "1 + id % 700 as length", "'x' as offset", "id as __row", "id as row", "id as __shard", "id as fill"), "t")
     got = packing.placements(cut, 1024, shard_pieces=500).collect()
     assert len(got) == 3000 and {r.doc_id for r in got} == set(range(3000))
+    assert all(r["__row"] == r.row == r["__shard"] == r.fill == r.doc_id for r in got)
     assert len(check_places(got, 1024)) <= 1.02 * sum(r.length for r in got) / 1024 + 6
 
 
