@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BATCH_BYTES
-from .common import library_chunks, map_batches, saved, slices, widened
+from .common import free_name, library_chunks, map_batches, saved, slices, widened
 
 SEQUENCE = 2048
 END_ID = 0
@@ -37,8 +37,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 def pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids (unsigned 32-bit, little-endian) of each piece.
 
-    A null or empty text is the end id alone; a null doc_id is kept as it is, and
-    repeated rows give their pieces each.  Only texts longer than a sequence are
+    A null or empty text is the end id alone; a text of any length is encoded by
+    one worker, beside a batch of about BATCH_BYTES.  A null doc_id is kept as it is,
+    and repeated rows give their pieces each.  Only texts longer than a sequence are
     cut; the first piece then takes the remainder, the others are full.
     """
 
@@ -59,7 +60,7 @@ def pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, end_id: i
 
         return cut
 
-    return map_batches(docs.select("doc_id", "text"), make, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, PIECES)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -170,40 +171,38 @@ def _best_step(poor: Sums, rich: Sums, room: int) -> tuple[int, tuple[int, ...],
 
 
 def packed(rows: DataFrame, sequence: int, shard_pieces: int) -> DataFrame:
-    """The rows (with a length and a __row of their own), each shard packed: with sequence_id, offset and the bin's fill."""
+    """row, sequence_id, offset and the bin's fill of rows (row, length), each shard packed; a stored table."""
     shards = max(1, round(rows.count() / shard_pieces))
-    keyed = rows.withColumn("__shard", F.pmod(F.xxhash64(F.col("__row"), F.lit(17)), F.lit(shards)).cast("int"))
-    names = rows.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long, __fill long"
+    keyed = rows.select("row", "length", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(shards)).cast("int").alias("shard"))
 
     def pack(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by("__row")
-        lengths, row = (shard[c].to_numpy().astype(np.int64) for c in ("length", "__row"))
+        shard = shard.sort_by("row")
+        lengths, row = (shard[c].to_numpy().astype(np.int64) for c in ("length", "row"))
         sequences, offsets, fill = (np.zeros(len(row), np.int64) for _ in range(3))
         for b in local_search(best_fit(lengths, sequence), lengths, sequence):
             offsets[b], sequences[b], fill[b] = np.cumsum(lengths[b]) - lengths[b], 2 * row[min(b)], lengths[b].sum()
-        out = shard.select(names)
-        for name, values in (("sequence_id", sequences), ("offset", offsets), ("__fill", fill)):
-            out = out.append_column(name, pa.array(values))
-        return out
+        return pa.table({"row": row, "length": lengths, "sequence_id": sequences, "offset": offsets, "fill": fill})
 
-    return saved(keyed.groupBy("__shard").applyInArrow(pack, schema), "packed")
+    return saved(keyed.groupBy("shard").applyInArrow(pack, "row long, length long, sequence_id long, offset long, fill long"), "packed")
 
 
 def placements(cut: DataFrame, sequence: int = SEQUENCE, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """The rows of `cut` (any columns with a length; a stored table) with sequence_id and offset.
+    """The rows of `cut` (any columns with a length), which are stored, with sequence_id and offset.
 
     Full pieces are sequences of their own.  Bins that stay under FULL_ENOUGH of
     a sequence are emptied, and their pieces dealt over new shards once more.
-    A sequence is named after one of its own pieces, so names never clash.
+    A sequence is named after one of its own pieces, so names never clash.  Columns
+    of `cut` named sequence_id or offset are replaced; any others stay.
     """
-    names = cut.columns
-    rows = cut.withColumn("__row", F.monotonically_increasing_id())
-    whole = rows.filter(F.col("length") >= sequence).select(*names, (F.col("__row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    once = packed(rows.filter(F.col("length") < sequence), sequence, shard_pieces)
-    poor = F.col("__fill") < FULL_ENOUGH * sequence
-    twice = packed(once.filter(poor).select(*names, "__row"), sequence, shard_pieces)
-    return whole.unionByName(once.filter(~poor).unionByName(twice).select(*names, "sequence_id", "offset"))
+    row = free_name("__row", cut.columns)
+    rows = saved(cut.drop("sequence_id", "offset").withColumn(row, F.monotonically_increasing_id()), "rows")
+    short = rows.filter(F.col("length") < sequence).select(F.col(row).alias("row"), F.col("length").cast("long").alias("length"))
+    once = packed(short, sequence, shard_pieces)
+    poor = F.col("fill") < FULL_ENOUGH * sequence
+    twice = packed(once.filter(poor).select("row", "length"), sequence, shard_pieces)
+    places = once.filter(~poor).unionByName(twice).select(F.col("row").alias(row), "sequence_id", "offset")
+    own = F.col(row) * 2 + 1  # of a full piece
+    return rows.join(places, row, "left").withColumn("sequence_id", F.coalesce("sequence_id", own)).withColumn("offset", F.coalesce("offset", F.lit(0).cast("long"))).drop(row)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, with_ids: bool = False, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -211,7 +210,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, with_ids: bool = False, seq
     cut = pieces(docs, vocabulary, sequence, end_id)
     digest = F.crc32("ids").alias("ids_crc32")
     keep = ["doc_id", "piece", "start", "length", digest, *["ids"] * with_ids]
-    return placements(saved(cut.select(*keep), "pieces"), sequence)
+    return placements(cut.select(*keep), sequence)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
