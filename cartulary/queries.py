@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import text
-from .operators import flows, stats
+from .functions import places, text
+from .operators import flows, geo, joins, stats
 from .plans import catalog, gate, resolve
 from .plans.contract import Contract, compiled, composite
 from .sources import marts
-from .sources.tables import nan_to_null, register, scan
+from .sources.stored import fresh_path
+from .sources.tables import append_json_lines, extent, nan_to_null, payload, register, scan
 from .streaming import events as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -453,6 +454,157 @@ def resolve_entity(spark, d):
     return resolve.resolved(resolve.distinct_values(marts.nations(spark, d), "nation"), f"how much did {FIRST.title()} receive")
 
 
+# --- sources, features, pages and formats ---
+
+
+@query("SELECT MIN(c_acctbal) AS min_lon, MIN(c_custkey) AS min_lat, MAX(c_acctbal) AS max_lon, MAX(c_custkey) AS max_lat FROM customer")
+def bounding_box(spark, d):
+    return extent(scan(spark, d, "customer"), "c_acctbal", "c_custkey")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CAST(json_extract(props, '$.other') AS VARCHAR) AS other FROM events")
+def json_payloads(spark, d):
+    found = payload("props", "k int, other string")
+    return scan(spark, d, "events").select("event_id", found["k"].alias("k"), found["other"].alias("other"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_lines_round_trip(spark, d):
+    at = fresh_path(spark, "lines")
+    append_json_lines(scan(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), at)
+    return spark.read.schema("n_nationkey long, n_name string, n_regionkey long").json(at)
+
+
+_FEATURES = "features AS (SELECT n_name AS key, n_nationkey AS shape FROM nation), results AS (SELECT n.n_name AS key, MAX(s_acctbal) AS value FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey WHERE s_acctbal > 5000 GROUP BY 1)"
+
+
+def _features(spark, d):
+    n = scan(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("key"))
+    rich = scan(spark, d, "supplier").filter("s_acctbal > 5000").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))  # nations are 25
+    return n.select("key", F.col("n_nationkey").alias("shape")), rich.groupBy("key").agg(F.max("s_acctbal").alias("value"))
+
+
+@query("SELECT key, shape, value FROM features JOIN results USING (key)", _FEATURES)
+def features_highlighted(spark, d):
+    return geo.highlighted(*_features(spark, d), "key")
+
+
+@query("SELECT key, shape, value, value IS NOT NULL AS matched FROM features LEFT JOIN results USING (key)", _FEATURES)
+def features_backdrop(spark, d):
+    return geo.backdrop(*_features(spark, d), "key")
+
+
+@query("SELECT key, shape FROM features WHERE key IN (SELECT key FROM results)", _FEATURES)
+def features_within(spark, d):
+    return geo.within(*_features(spark, d), "key")
+
+
+@query("SELECT nation AS label, revenue AS value, region FROM spending WHERE period = '2000' ORDER BY nation LIMIT 10 OFFSET 10", SPENDING)
+def values_page(spark, d):
+    return contract(spark, d, "values", "spending_nation", metric="revenue", carry=("region",), limit=10, offset=10)
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS name, CAST(a + b + c + e AS BIGINT) AS n_rows FROM n UNION ALL SELECT unnest(['accounts_nation', 'flow_nation', 'spending_nation', 'spending_nation_brand']), unnest([a, b, c, e]) FROM n", f"{FLOWS}, years AS (SELECT nation, region, period FROM sales GROUP BY ALL), n AS (SELECT (SELECT CAST(COUNT(DISTINCT c_nationkey) AS BIGINT) FROM customer) AS a, (SELECT CAST(COUNT(*) AS BIGINT) FROM flows) AS b, (SELECT CAST(COUNT(*) AS BIGINT) + COUNT(DISTINCT nation) FROM years) AS c, (SELECT CAST(COUNT(*) AS BIGINT) FROM (SELECT DISTINCT nation, p_brand, period FROM sales JOIN part ON part_key = p_partkey)) AS e)")
+def catalog_rows(spark, d):
+    return catalog.total_rows(spark, d)
+
+
+@query("SELECT COUNT(*) AS n_shown, CAST(SUM(a) AS DOUBLE) AS shown_amount FROM (SELECT SUM(amount) AS a FROM flows GROUP BY origin, destination ORDER BY a DESC, origin, destination LIMIT 25)", FLOWS)
+def flows_displayed(spark, d):
+    return flows.summary(marts.flows(spark, d, brands=False), shown=25).select("n_shown", "shown_amount")
+
+
+@query("SELECT nation, revenue, MAX(revenue) OVER () - MIN(revenue) OVER () AS spread FROM spending WHERE period = '2000'", SPENDING)
+def spread(spark, d):
+    rows = marts.spending(spark, d, "2000").select("nation", "revenue")
+    return rows.crossJoin(F.broadcast(rows.agg((F.max("revenue") - F.min("revenue")).alias("spread"))))  # of one row
+
+
+@query("SELECT nation, period, lead(revenue) OVER w AS after, CAST(ntile(3) OVER w AS INTEGER) AS third, CAST(SUM(items) OVER (PARTITION BY nation ORDER BY CAST(period AS INTEGER) RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS items_around FROM spending WHERE length(period) = 4 WINDOW w AS (PARTITION BY nation ORDER BY period)", SPENDING)
+def lead_ntile_range(spark, d):
+    w = Window.partitionBy("nation").orderBy("period")
+    around = Window.partitionBy("nation").orderBy(F.col("period").try_cast("int")).rangeBetween(-1, 1)
+    return marts.spending(spark, d).filter(F.length("period") == 4).select("nation", "period", F.lead("revenue").over(w).alias("after"), F.ntile(3).over(w).alias("third"), F.sum("items").over(around).alias("items_around"))
+
+
+@query("SELECT COALESCE(l_returnflag, '*') AS flag, COALESCE(l_linestatus, '*') AS status, CAST(COUNT(*) AS BIGINT) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark, d):
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    return scan(spark, d, "lineitem").groupingSets([[flag], [status], []], flag, status).agg(F.count("*").alias("n")).select(F.coalesce(flag, F.lit("*")).alias("flag"), F.coalesce(status, F.lit("*")).alias("status"), "n")
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal >= s_acctbal AND c_acctbal < s_acctbal + 5")
+def interval_join(spark, d):
+    ranges = scan(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 5).alias("high"))
+    return joins.interval_join(scan(spark, d, "customer").select("c_custkey", "c_acctbal"), ranges, "c_acctbal", "low", "high", 5.0).select("c_custkey", "s_suppkey")
+
+
+@query("SELECT n_name AS nation, o.o_orderkey, o.o_totalprice FROM nation JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) o ON true")
+def top_of_each(spark, d):
+    o = scan(spark, d, "orders").join(scan(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderkey", "o_totalprice")
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    first = o.withColumn("n", F.row_number().over(w)).filter("n <= 2")
+    return first.join(F.broadcast(scan(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("nation"), "o_orderkey", "o_totalprice")
+
+
+@query("SELECT nation, credits + debits AS total FROM accounts", ACCOUNTS)
+def spending_composite(spark, d):
+    rows = marts.accounts(spark, d).select("nation", F.col("credits").alias("Contracts"), F.col("debits").alias("Grants"), F.lit(None).cast("double").alias("Resident Wage"))
+    return rows.select("nation", geo.spending_total().alias("total"))
+
+
+@query("SELECT nation, credits, debits, credits - debits AS rest FROM accounts", ACCOUNTS)
+def complement(spark, d):
+    return geo.with_complement(marts.accounts(spark, d).select("nation", "credits", "debits"), "rest", "credits", "debits")
+
+
+@query(r"SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(lower('St. ' || c_mktsegment || ' County, ' || c_name), '\bcounty\b', ' ', 'g'), '[^a-z0-9 ]+', '', 'g'), ' +', ' ', 'g')) AS county FROM customer")
+def county_normalize(spark, d):
+    return scan(spark, d, "customer").select("c_custkey", text.county(F.concat(F.lit("St. "), F.col("c_mktsegment"), F.lit(" County, "), F.col("c_name"))).alias("county"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name || ' ' || p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM part")
+def title_case(spark, d):
+    return scan(spark, d, "part").select("p_partkey", text.title(F.concat_ws(" ", "p_name", "p_type")).alias("title"))
+
+
+_STATES = list(places.STATES)
+
+
+@query(f"SELECT s_suppkey, m.code FROM supplier LEFT JOIN (VALUES {', '.join(f"({k}, '{c}')" for k, c in enumerate(places.STATES.values()))}) m(k, code) ON s_suppkey % 53 = m.k")
+def state_codes(spark, d):
+    names = F.array(*(F.lit(f" {n.title()}" if k % 2 else places.STATES[n].lower()) for k, n in enumerate(_STATES)), F.lit("nowhere"), F.lit(None).cast("string"))
+    return scan(spark, d, "supplier").select("s_suppkey", places.postal_code(names[(F.col("s_suppkey") % 53).cast("int")]).alias("code"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey * 1001 AS DOUBLE) / 4 AS number, CAST(NULL AS DOUBLE) AS none FROM orders")
+def number_parse(spark, d):
+    shown = F.format_number(F.col("o_orderkey") * 1001 / 4, 2)
+    return scan(spark, d, "orders").select("o_orderkey", text.number_of(shown).alias("number"), text.number_of(F.concat(shown, F.lit("x"))).alias("none"))
+
+
+@query("SELECT l_orderkey, l_linenumber, abs(l_tax - l_discount) <= 0.02 * greatest(1.0, abs(l_discount)) AS close FROM lineitem")
+def tolerance_compare(spark, d):
+    return scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.close(F.col("l_tax"), F.col("l_discount"), 0.02).alias("close"))
+
+
+_KINDS = "".join(f" WHEN regexp_matches(name, '{p}') THEN '{k}'" for k, p in text.METRIC_KINDS.items())
+_METRICS = ("Total_Assets", "Below poverty", "# of household", "cash_position", "Owner occupied", "Employees", "other")
+
+
+@query(f"SELECT p_partkey, CASE{_KINDS} ELSE 'generic' END AS kind FROM (SELECT p_partkey, lower(list_extract({list(_METRICS)}, 1 + p_partkey % {len(_METRICS)})) AS name FROM part)")
+def metric_kinds(spark, d):
+    name = F.array(*map(F.lit, _METRICS))[(F.col("p_partkey") % len(_METRICS)).cast("int")]
+    return scan(spark, d, "part").select("p_partkey", text.metric_kind(name).alias("kind"))
+
+
+@query("SELECT l_orderkey, l_linenumber, printf('%.1f', CASE WHEN l_linenumber % 2 = 0 THEN l_discount * 100 ELSE l_quantity END) || '%' AS percent, format('{:,}', CAST(l_quantity AS BIGINT) * 1000) AS count FROM lineitem")
+def percent_and_count_shown(spark, d):
+    share = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount")).otherwise(F.col("l_quantity"))
+    share = F.when((F.col("l_linenumber") % 2 == 1) & (share <= 1.5), share / 100).otherwise(share)  # percents are from 1.5 up
+    return scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.shown(F.lit("poverty"), share).alias("percent"), text.shown(F.lit("population"), F.col("l_quantity") * 1000).alias("count"))
+
+
 # --- extension: windows over events, as on a stream ---
 
 
@@ -460,3 +612,20 @@ def resolve_entity(spark, d):
 def event_windows(spark, d):
     e = scan(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return streaming.windowed(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+_SESSIONS = """starts AS (
+  SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events
+), numbered AS (SELECT user_id, ts, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM starts)"""
+
+
+@query("SELECT user_id, MIN(ts) AS start, MAX(ts) + INTERVAL 30 MINUTE AS end, CAST(COUNT(*) AS BIGINT) AS n FROM numbered GROUP BY user_id, s", _SESSIONS)
+def event_sessions(spark, d):
+    e = scan(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streaming.sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def events_once(spark, d):
+    e = scan(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streaming.once(e.unionByName(e)).select("event_id", "user_id", "event_type")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartulary.functions import text
-from cartulary.operators import flows, stats
+from cartulary.operators import flows, joins, stats
 from cartulary.sources import tables
 from cartulary.streaming import events
 
@@ -59,6 +59,15 @@ def test_as_of(spark):
     assert got == {("a", 5): 50, ("a", 1): None, ("b", 9): None, ("c", 3): None}
 
 
+def test_interval_join(spark):
+    rng = random.Random(4)
+    points = [(k, rng.uniform(-20, 20) if k % 9 else None) for k in range(200)] + [(900, 3.0), (901, 5.0)]
+    ranges = [(k, a, a + rng.choice([-1.0, 0.0, 0.5, 7.0])) for k, a in enumerate(rng.uniform(-20, 20) for _ in range(60))] + [(99, 3.0, 5.0), (98, None, 1.0)]
+    got = joins.interval_join(spark.createDataFrame(points, "p long, v double"), spark.createDataFrame(ranges, "r long, a double, b double"), "v", "a", "b", 2.0)
+    want = sorted((p, r) for p, v in points for r, a, b in ranges if v is not None and a is not None and a <= v < b)
+    assert sorted((x.p, x.r) for x in got.collect()) == want and (900, 99) in want and (901, 99) not in want
+
+
 def test_flow_steps_take_their_upper_bound(spark):
     df = spark.createDataFrame([(1e6,), (1e6 + 1,), (1e9,), (1e9 + 1,), (-5.0,)], "a double")
     assert [r[0] for r in df.select(stats.stepped(F.col("a"), stats.FLOW_STEPS, stats.FLOW_LAST)).collect()] == ["<=1M", "1-10M", "100M-1B", ">1B", "<=1M"]

@@ -2,6 +2,7 @@ import glob
 import os
 import subprocess
 import sys
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -64,3 +65,13 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     assert "GreaterThanOrEqual(o_orderdate" in orders and "LessThan(o_orderdate" in orders
     plan = QUERIES["flow_pair_total"](spark, small.dir)._jdf.queryExecution().executedPlan().toString()
     assert "p_partkey" not in plan
+
+
+def test_similar_names_against_the_library(spark, small):
+    names = sorted(r.n_name for r in small("nation").collect())
+    want = {(a, b): round(SequenceMatcher(None, a, b).ratio(), 6) for a in names for b in names if a < b}
+    assert {(r.nation, r.other): r.ratio for r in QUERIES["sequence_similarity"](spark, small.dir).collect()} == want
+
+
+def test_resolved_name(spark, small):
+    assert [(r.value, r.score) for r in QUERIES["resolve_entity"](spark, small.dir).collect()] == [("NATION_0", 1.0)]
