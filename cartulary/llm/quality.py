@@ -213,9 +213,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def judged(docs: DataFrame, trees: Trees, keep_score: float = KEEP_SCORE) -> DataFrame:
     """doc_id, the base counts, base_failed, score and kept of each row.
 
-    A null or empty text has no words and fails; null doc_ids and repeated rows
-    stay as they are, other columns don't matter; an empty table gives an empty
-    result.
+    A null or empty text has no words and fails; a text of any length is measured
+    whole, by one worker beside a batch of about a megabyte.  Null doc_ids and
+    repeated rows stay as they are, other columns don't matter; an empty table gives
+    an empty result.
     """
 
     def judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near-dedup, secret scans, packing."""
+"""The corpus pipeline: quality rules, near-dedup, secret scans, packing.
+
+Every stage takes any documents: null texts count as empty ones, null doc_ids and
+further columns are kept, texts have any length, and an empty table gives an empty
+one.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +15,25 @@ from cartulary.llm.common import saved, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, null and empty texts among them; rows that repeat are judged each."""
     return quality.only_kept(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays, the one with the smallest doc_id; five words and 80 percent.
+
+    Rows without a doc_id stay; of rows that repeat a doc_id and a text one stays.
+    """
     return near_dedup.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced."""
+    """Secrets in the texts are replaced, n_chars follows; every row stays."""
     return secrets.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequences and offsets."""
+    """Pieces of the documents with their sequences and offsets; a null or empty text is its end alone."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
