@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import places, text
-from .operators import flows, geo, joins, stats
+from .operators import finance, flows, geo, joins, stats
 from .plans import catalog, gate, resolve
 from .plans.contract import Contract, compiled, composite
 from .sources import marts
@@ -568,6 +568,25 @@ def title_case(spark, d):
     return scan(spark, d, "part").select("p_partkey", text.title(F.concat_ws(" ", "p_name", "p_type")).alias("title"))
 
 
+@query("SELECT nation, credits - debits AS net_position, ROUND(debits / NULLIF(credits, 0), 6) AS debt_ratio, ROUND(credits / NULLIF(debits, 0), 6) AS current_ratio, ROUND(credits - debits - 100.0, 6) AS free_cash_flow, ROUND(balance / NULLIF(customers, 0), 6) AS per_capita FROM accounts", ACCOUNTS)
+def finance_metrics(spark, d):
+    rounded = lambda c, name: F.round(c, 6).alias(name)
+    return marts.accounts(spark, d).select(
+        "nation",
+        finance.net_position("credits", "debits").alias("net_position"),
+        rounded(finance.debt_ratio("debits", "credits"), "debt_ratio"),
+        rounded(finance.current_ratio("credits", "debits"), "current_ratio"),
+        rounded(finance.free_cash_flow("credits", "debits", F.lit(None).cast("double"), F.lit(100.0)), "free_cash_flow"),
+        rounded(finance.per_capita("balance", "customers"), "per_capita"),
+    )
+
+
+@query("SELECT o_custkey, CAST(MIN(date_trunc('month', o_orderdate)) AS TIMESTAMP) AS first_month, CAST(date_diff('day', MIN(o_orderdate), MAX(o_orderdate)) AS INTEGER) AS days, array_to_string(list_sort(list(DISTINCT substring(o_orderpriority, 1, 1))), '>') AS priorities, CAST(len(list_filter(list(o_totalprice), lambda x: x > 200000)) AS INTEGER) AS large FROM orders GROUP BY 1")
+def dates_and_arrays(spark, d):
+    o = scan(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.date_trunc("month", "o_orderdate")).cast("timestamp_ntz").alias("first_month"), F.datediff(F.max("o_orderdate"), F.min("o_orderdate")).alias("days"), F.collect_set(F.substring("o_orderpriority", 1, 1)).alias("p"), F.collect_list("o_totalprice").alias("t"))
+    return o.select("o_custkey", "first_month", "days", F.array_join(F.array_sort("p"), ">").alias("priorities"), F.size(F.filter("t", lambda x: x > 200000)).alias("large"))
+
+
 _STATES = list(places.STATES)
 
 

@@ -51,6 +51,11 @@ def fetch(df: DataFrame, most: int = 250) -> list[dict]:
     return [r.asDict(recursive=True) for r in nan_to_null(df).limit(most).collect()]
 
 
+def fetch_or(df: DataFrame, before: list[dict], most: int = 250) -> list[dict]:
+    """The rows of df, or those fetched before if it has none."""
+    return fetch(df, most) or before
+
+
 def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

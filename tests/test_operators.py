@@ -104,6 +104,7 @@ def test_text_functions(spark):
 def test_irregular_names_survive(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan")), (2, None)], ["Bonds,_Loans_&_Notes", "Income >$50K"])
     rows = tables.fetch(df)
+    assert tables.fetch_or(df.limit(0), rows) == rows and tables.fetch_or(df, []) == rows
     assert rows == [{"Bonds,_Loans_&_Notes": 1, "Income >$50K": None}, {"Bonds,_Loans_&_Notes": 2, "Income >$50K": None}]
 
 
