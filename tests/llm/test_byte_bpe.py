@@ -24,7 +24,7 @@ def test_the_monoid_agrees_with_the_library(library):
     bpe = byte_bpe.loaded(RANKS, p.PATTERN)
     rng = random.Random(5)
     texts = ODD + ["".join(rng.choice("abeinorst éñ,.\n 'AZ09çü|=") for _ in range(rng.randrange(1, 400))) for _ in range(300)]
-    texts += ["".join(rng.choice(["'", "l", "s", " ", "\n", "a", "1", ".", "\u3000", "''", "ve"]) for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+    texts += ["".join(rng.choice(["'", "l", "s", " ", "\n", "a", "1", ".", "\u3000", "''", "ve"]) for _ in range(rng.randrange(1, 60))) for _ in range(500)]
     for text in texts:
         want = library.encode_ordinary(text)
         for leaf in (1, 2, 3, 7, byte_bpe.LEAF_CHARS):
@@ -46,13 +46,13 @@ def test_thue_morse_words(library, n):
 
 
 def test_a_long_text_without_spaces(library):
-    text = "".join(random.Random(4).choice("abcdefgh") for _ in range(1 << 20))
+    text = "".join(random.Random(4).choices("abcdefgh", k=1 << 20))
     bpe = byte_bpe.loaded(RANKS, p.PATTERN)
     got = np.frombuffer(bpe.encode(text), "<u2").tolist()
     assert bpe.decode(got) == text.encode()
     pairs = set(zip(got, got[1:]))  # a sequence whose adjacent pairs all stay is the encoding of its bytes
     assert all(bpe.stays(a, b) for a, b in pairs)
-    assert np.frombuffer(bpe.encode(text[:20000]), "<u2").tolist() == library.encode_ordinary(text[:20000])
+    assert np.frombuffer(bpe.encode(text[:8000]), "<u2").tolist() == library.encode_ordinary(text[:8000])
 
 
 def test_little_memory_gives_the_same(library):
