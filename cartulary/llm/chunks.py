@@ -12,16 +12,15 @@ bytes the cache doesn't hold.  No token rests on a hash alone.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 
 from .words import same_spans, span_hashes
 
-#: Bytes of text that are cut at once, and bytes that one generation of a cache takes about.
+#: Bytes of text that are cut at once, and bytes of the arrays of a worker's cache.
 BATCH_BYTES = 3 << 20
-CACHE_BYTES = 24 << 20
-#: What an entry takes besides its contents: two objects and their place in the table.
-ENTRY_BYTES = 160
+CACHE_BYTES = 48 << 20
 
 
 def _table(*parts: bytes | range) -> np.ndarray:
@@ -55,49 +54,50 @@ def starts_of(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
-class PieceCache:
-    """Bytes of pieces to their ids, in two generations of about `limit` bytes each.
+@dataclass(frozen=True)
+class Run:
+    """Known pieces, sorted by their hashes: where their bytes lie in `blob` and their ids in `ids`."""
 
-    When the young generation is full it becomes the old one, and the old one
-    goes; pieces met again are young again.  So memory is bounded however many
-    different pieces there are, and frequent pieces stay.
-    """
+    keys: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    blob: np.ndarray
+    id_starts: np.ndarray
+    id_sizes: np.ndarray
+    ids: np.ndarray
+
+    @property
+    def nbytes(self) -> int:
+        return sum(getattr(self, f.name).nbytes for f in fields(self))
 
-    def __init__(self, limit: int = CACHE_BYTES):
-        self.limit, self.held = limit, 0
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def of(self, pieces: list[bytes], encode_many: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
-        """The ids of each piece; pieces that aren't known are encoded together."""
-        got = list(map(self.young.get, pieces))
-        if missing := [k for k, x in enumerate(got) if x is None]:
-            for k in missing:
-                got[k] = self.old.get(pieces[k])
-            unknown = [k for k in missing if got[k] is None]
-            for k, x in zip(unknown, encode_many([pieces[k] for k in unknown]), strict=True):
-                got[k] = x
-            for k in missing:
-                self.keep(pieces[k], got[k])
-        return got
-
-    def keep(self, piece: bytes, ids: bytes) -> None:
-        size = len(piece) + len(ids) + ENTRY_BYTES
-        if self.held + size > self.limit:
-            self.old, self.young, self.held = self.young, {}, 0
-        if size <= self.limit:
-            self.young[piece] = ids
-            self.held += size
+    def merged(self, other: Run) -> Run:
+        both = lambda name, shift=0: np.concatenate([getattr(self, name), getattr(other, name) + np.uint32(shift)])
+        keys = np.concatenate([self.keys, other.keys])
+        order = np.argsort(keys, kind="stable")
+        starts, id_starts = both("starts", len(self.blob)), both("id_starts", len(self.ids))
+        return Run(keys[order], starts[order], both("sizes")[order], np.concatenate([self.blob, other.blob]), id_starts[order], both("id_sizes")[order], np.concatenate([self.ids, other.ids]))
 
 
 class ChunkEncoder:
-    """encode_many: strings to their ids, each as unsigned 16-bit little-endian bytes."""
+    """encode_many: strings to their ids, each as unsigned 16-bit little-endian bytes.
+
+    Pieces that were met are kept in a few sorted runs of arrays, merged as they
+    grow; a piece is known only if its bytes are the same.  When the arrays take more
+    than `limit` bytes they are emptied, so memory stays bounded however many
+    different pieces there are.
+    """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = CACHE_BYTES):
-        self.encode_many, self.cache = encode_many, PieceCache(limit)
+        self.encode_many, self.limit = encode_many, limit
+        self.runs: list[Run] = []
 
-    def _decoded(self, pieces: list[bytes]) -> list[bytes]:
-        return self.encode_many([p.decode() for p in pieces])
+    def _keep(self, run: Run) -> None:
+        self.runs.append(run)
+        while len(self.runs) > 1 and 2 * len(self.runs[-1].keys) > len(self.runs[-2].keys):
+            last = self.runs.pop()
+            self.runs[-1] = self.runs[-1].merged(last)
+        if sum(r.nbytes for r in self.runs) > self.limit:
+            self.runs = []
 
     def _some(self, texts: list[bytes]) -> Iterator[bytes]:
         raw = b"".join(texts)
@@ -107,21 +107,52 @@ class ChunkEncoder:
             return
         data = np.frombuffer(raw, np.uint8)
         starts = starts_of(data, begins)
-        ends = np.append(starts[1:], len(data))
-        _, example, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        first = example[which]
-        same = (ends - starts == ends[first] - starts[first]) & same_spans(data, starts, starts[first], np.minimum(ends - starts, ends[first] - starts[first]))
+        sizes = np.diff(np.append(starts, len(data)))
+        keys, example, which = np.unique(span_hashes(data, starts, starts + sizes), return_index=True, return_inverse=True)
+        same = sizes == sizes[example][which]
+        same[same] = same_spans(data, starts[same], data, starts[example][which][same], sizes[same])
         odd = np.flatnonzero(~same)  # pieces that share their hash with another: each counts as a piece of its own
         which[odd] = len(example) + np.arange(len(odd))
-        some = np.concatenate([example, odd])
-        got = self.cache.of([raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], self._decoded)
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 2
-        firsts = np.cumsum(sizes) - sizes
-        size = sizes[which]
+        ids, first, n_ids = self._ids(raw, data, keys, starts[np.concatenate([example, odd])], sizes[np.concatenate([example, odd])])
+        size = n_ids[which]
         until = np.concatenate([[0], np.cumsum(size)])
-        ids = np.frombuffer(b"".join(got), np.uint16)[np.repeat(firsts[which] - until[:-1], size) + np.arange(until[-1])].tobytes()
+        out = ids[np.repeat(first[which] - until[:-1], size) + np.arange(until[-1])].tobytes()
         cuts = (2 * until[np.searchsorted(starts, begins)]).tolist()
-        yield from (ids[a:b] for a, b in zip(cuts, cuts[1:]))
+        yield from (out[a:b] for a, b in zip(cuts, cuts[1:]))
+
+    def _ids(self, raw: bytes, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each piece begin and how many; keys: hashes of the first pieces, in order."""
+        first, n_ids = np.full(len(starts), -1, np.int64), np.zeros(len(starts), np.int64)
+        fresh = np.arange(len(starts)) < len(keys)  # no known piece has the hash
+        parts, base = [], 0
+        for r in self.runs:
+            rows = np.flatnonzero(fresh)
+            at = np.minimum(np.searchsorted(r.keys, keys[rows]), len(r.keys) - 1)
+            hit = r.keys[at] == keys[rows]
+            rows, at = rows[hit], at[hit]
+            fresh[rows] = False
+            good = r.sizes[at] == sizes[rows]
+            good[good] = same_spans(data, starts[rows[good]], r.blob, r.starts[at[good]].astype(np.int64), sizes[rows[good]])
+            rows, at = rows[good], at[good]
+            first[rows], n_ids[rows] = base + r.id_starts[at].astype(np.int64), r.id_sizes[at]
+            parts.append(r.ids)
+            base += len(r.ids)
+        missing = np.flatnonzero(first < 0)
+        if len(missing):
+            pieces = [raw[a:b] for a, b in zip(starts[missing].tolist(), (starts + sizes)[missing].tolist(), strict=True)]
+            got = self.encode_many([p.decode() for p in pieces])
+            n_ids[missing] = np.fromiter(map(len, got), np.int64, len(got)) // 2
+            parts.append(np.frombuffer(b"".join(got), np.uint16))
+            first[missing] = base + np.cumsum(n_ids[missing]) - n_ids[missing]
+            if fresh.any():
+                own = np.flatnonzero(fresh[missing])
+                blob = np.frombuffer(b"".join([pieces[k] for k in own.tolist()]), np.uint8)
+                new = missing[own]
+                ends, id_ends = np.cumsum(sizes[new]), np.cumsum(n_ids[new])
+                ids = np.frombuffer(b"".join([got[k] for k in own.tolist()]), np.uint16)
+                u4 = lambda x: x.astype(np.uint32)
+                self._keep(Run(keys[new], u4(ends - sizes[new]), u4(sizes[new]), blob, u4(id_ends - n_ids[new]), u4(n_ids[new]), ids))
+        return np.concatenate(parts), first, n_ids
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, in order; a null counts as an empty text."""

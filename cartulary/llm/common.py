@@ -99,8 +99,10 @@ def library_encoder(path: str):
     def parts(word: str, form: Callable[[str], str]) -> bytes:
         return little_endian([t.id for t in model.tokenize(form(word[1:]) if word.isascii() else spelt(form(word[1:])))], "H")
 
+    wide = {c: chr(c).encode().decode("latin-1").translate(table) for c in range(128, 256)}
+
     def spelt(word: str) -> str:
-        return "".join(c if c == "\u0120" else c.encode().decode("latin-1").translate(table) for c in word)
+        return word.translate(wide)
 
     form = next((f for f in forms if [parts(p, f) for p in probes] == whole(probes)), None)
 

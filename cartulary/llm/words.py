@@ -42,18 +42,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
-def same_spans(data: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether the spans at `starts` and at `others`, of `sizes` bytes both, hold the same bytes."""
+def same_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the spans of `data` at `starts` and of `other` at `others`, of `sizes` bytes both, hold the same bytes."""
     same = np.ones(len(starts), bool)
-    view = eights(data)
-    rows, at = np.flatnonzero((starts != others) & (sizes > 0) & (sizes <= LONG_SPAN)), 0
+    one, two = eights(data), eights(other)
+    rows, at = np.flatnonzero((sizes > 0) & (sizes <= LONG_SPAN)), 0
     while len(rows):
         left = sizes[rows] - at
         mask = _MASKS[np.minimum(left, 8)]
-        same[rows] &= view[starts[rows] + at] & mask == view[others[rows] + at] & mask
+        same[rows] &= (one[starts[rows] + at] & mask) == (two[others[rows] + at] & mask)
         rows, at = rows[left > 8], at + 8
-    for k in np.flatnonzero((starts != others) & (sizes > LONG_SPAN)).tolist():
-        same[k] = np.array_equal(data[starts[k] : starts[k] + sizes[k]], data[others[k] : others[k] + sizes[k]])
+    for k in np.flatnonzero(sizes > LONG_SPAN).tolist():
+        same[k] = np.array_equal(data[starts[k] : starts[k] + sizes[k]], other[others[k] : others[k] + sizes[k]])
     return same
 
 
