@@ -67,6 +67,15 @@ def summary(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"))
 
 
+def approximate_summary(df: DataFrame, value: str, key: str, error: float = 0.02) -> DataFrame:
+    """One row: about how many different keys, and about the quartiles of the values, in bounded memory.
+
+    `error` is the relative error of the count (one standard deviation) and of the quartiles' ranks.
+    """
+    quartiles = F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(round(1 / error)))
+    return df.agg(F.approx_count_distinct(key, error).alias("keys"), quartiles.alias("q")).select("keys", *(F.col("q")[k].alias(f"q{k + 1}") for k in range(3)))
+
+
 def against_all(df: DataFrame, value: str, is_entity: Column) -> DataFrame:
     """The entity's rows with the mean and median over all rows."""
     whole = df.agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"))

@@ -220,6 +220,12 @@ def summary_stats(spark, d):
     return contract(spark, d, "summary", "spending_nation", metric="revenue")
 
 
+@query()
+def approximate_summary(spark, d):
+    """About how many customers order, and about the quartiles of their orders' prices; a test holds it to the exact ones."""
+    return stats.approximate_summary(scan(spark, d, "orders"), "o_totalprice", "o_custkey")
+
+
 @query("SELECT nation, balance, (SELECT ROUND(AVG(balance), 6) FROM accounts) AS mean, (SELECT ROUND(MEDIAN(balance), 6) FROM accounts) AS median FROM accounts WHERE nation = 'NATION_9'", ACCOUNTS)
 def entity_vs_national(spark, d):
     return stats.against_all(marts.accounts(spark, d).select("nation", "balance"), "balance", F.col("nation") == LAST)

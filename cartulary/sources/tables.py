@@ -56,6 +56,11 @@ def fetch_or(df: DataFrame, before: list[dict], most: int = 250) -> list[dict]:
     return fetch(df, most) or before
 
 
+def stamped(df: DataFrame, name: str = "at") -> DataFrame:
+    """Rows with the time of the query, one for all of them."""
+    return df.withColumn(name, F.current_timestamp())
+
+
 def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

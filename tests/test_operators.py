@@ -115,6 +115,7 @@ def test_sinks_and_payloads(spark, tmp_path):
     for _ in range(2):
         tables.append_json_lines(df, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 6
+    assert tables.stamped(df).select("at").distinct().count() == 1
     for kind in ("parquet", "orc", "csv", "json"):
         tables.export(df, str(tmp_path / kind), kind)
         assert spark.read.format(kind).option("header", True).load(str(tmp_path / kind)).count() == 3

@@ -2,6 +2,7 @@ import glob
 import os
 import subprocess
 import sys
+from bisect import bisect_left
 from difflib import SequenceMatcher
 
 import duckdb
@@ -75,3 +76,11 @@ def test_similar_names_against_the_library(spark, small):
 
 def test_resolved_name(spark, small):
     assert [(r.value, r.score) for r in QUERIES["resolve_entity"](spark, small.dir).collect()] == [("NATION_0", 1.0)]
+
+
+def test_approximate_figures_are_near(spark, small):
+    r = QUERIES["approximate_summary"](spark, small.dir).first()
+    prices = sorted(x.o_totalprice for x in small("orders").collect())
+    assert abs(r["keys"] / small("orders").select("o_custkey").distinct().count() - 1) < 0.1
+    for k, q in enumerate((r.q1, r.q2, r.q3), 1):
+        assert abs(bisect_left(prices, q) / len(prices) - k / 4) < 0.03
