@@ -41,9 +41,12 @@ ACCOUNTS = """accounts AS (
          CAST(SUM(greatest(CAST(c_acctbal AS DECIMAL(18,2)), 0)) AS DOUBLE) AS credits, CAST(SUM(-least(CAST(c_acctbal AS DECIMAL(18,2)), 0)) AS DOUBLE) AS debits,
          CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name, r.r_name)"""
-FLOWS = SALES + """, flows AS (
-  SELECT sn.n_name AS origin, s.nation AS destination, s.year, p.p_brand AS brand, s.amount
-  FROM sales s JOIN supplier su ON s.supplier_key = su.s_suppkey JOIN nation sn ON su.s_nationkey = sn.n_nationkey JOIN part p ON s.part_key = p.p_partkey)"""
+_ENDS = """s.year, s.amount FROM sales s JOIN supplier su ON s.supplier_key = su.s_suppkey JOIN nation sn ON su.s_nationkey = sn.n_nationkey"""
+#: Flows without brands, which don't read the parts, and with them.
+PLAIN_FLOWS = SALES + f""", flows AS (
+  SELECT sn.n_name AS origin, s.nation AS destination, {_ENDS})"""
+FLOWS = SALES + f""", flows AS (
+  SELECT p.p_brand AS brand, sn.n_name AS origin, s.nation AS destination, {_ENDS} JOIN part p ON s.part_key = p.p_partkey)"""
 
 
 def query(sql: str | None = None, before: str = ""):
@@ -265,7 +268,7 @@ def having_distinct_listagg(spark, d):
 # --- flows ---
 
 
-@query("SELECT CAST(SUM(amount) AS DOUBLE) AS amount FROM flows WHERE lower(destination) = 'nation_0'", FLOWS)
+@query("SELECT CAST(SUM(amount) AS DOUBLE) AS amount FROM flows WHERE lower(destination) = 'nation_0'", PLAIN_FLOWS)
 def flow_inflow(spark, d):
     return flows.amount_of(flows.filtered(marts.flows(spark, d, brands=False), destination=FIRST))
 
@@ -275,17 +278,17 @@ def flow_outflow_filtered(spark, d):
     return flows.amount_of(flows.filtered(marts.flows(spark, d, years=(1996, 1998)), origin=FIRST, years=(1996, 1998), brands=["Brand#11", "Brand#12", "Brand#13", "Brand#21"]))
 
 
-@query("SELECT origin, destination, CAST(SUM(amount) AS DOUBLE) AS amount, CAST(COUNT(*) AS BIGINT) AS n_flows FROM flows GROUP BY 1, 2", FLOWS)
+@query("SELECT origin, destination, CAST(SUM(amount) AS DOUBLE) AS amount, CAST(COUNT(*) AS BIGINT) AS n_flows FROM flows GROUP BY 1, 2", PLAIN_FLOWS)
 def flow_pair_total(spark, d):
     return flows.pairs(marts.flows(spark, d, brands=False))
 
 
-@query("SELECT destination, CAST(SUM(amount) AS DOUBLE) AS amount, ROUND(CAST(SUM(amount) AS DOUBLE) * 100 / (SELECT CAST(SUM(amount) AS DOUBLE) FROM flows), 6) AS share FROM flows GROUP BY 1", FLOWS)
+@query("SELECT destination, CAST(SUM(amount) AS DOUBLE) AS amount, ROUND(CAST(SUM(amount) AS DOUBLE) * 100 / (SELECT CAST(SUM(amount) AS DOUBLE) FROM flows), 6) AS share FROM flows GROUP BY 1", PLAIN_FLOWS)
 def flow_share(spark, d):
     return flows.shares(marts.flows(spark, d, brands=False))
 
 
-@query("SELECT origin = destination AS internal, CAST(SUM(amount) AS DOUBLE) AS amount, CAST(COUNT(*) AS BIGINT) AS n_flows FROM flows GROUP BY 1", FLOWS)
+@query("SELECT origin = destination AS internal, CAST(SUM(amount) AS DOUBLE) AS amount, CAST(COUNT(*) AS BIGINT) AS n_flows FROM flows GROUP BY 1", PLAIN_FLOWS)
 def flow_internal_split(spark, d):
     return flows.internal_split(marts.flows(spark, d, brands=False))
 
@@ -295,12 +298,12 @@ def flow_top_contributor(spark, d):
     return flows.top_contributors(marts.flows(spark, d))
 
 
-@query("SELECT CAST(SUM(amount) AS DOUBLE) AS amount, CAST(COUNT(*) AS BIGINT) AS n_flows, CAST(SUM(amount) FILTER (WHERE origin = destination) AS DOUBLE) AS internal_amount, CAST(COUNT(*) FILTER (WHERE origin = destination) AS BIGINT) AS n_internal, (SELECT CAST(COUNT(*) AS BIGINT) FROM (SELECT origin FROM flows UNION SELECT destination FROM flows)) AS n_places, ROUND(CAST(SUM(amount) AS DOUBLE) / COUNT(*), 6) AS mean_amount FROM flows", FLOWS)
+@query("SELECT CAST(SUM(amount) AS DOUBLE) AS amount, CAST(COUNT(*) AS BIGINT) AS n_flows, CAST(SUM(amount) FILTER (WHERE origin = destination) AS DOUBLE) AS internal_amount, CAST(COUNT(*) FILTER (WHERE origin = destination) AS BIGINT) AS n_internal, (SELECT CAST(COUNT(*) AS BIGINT) FROM (SELECT origin FROM flows UNION SELECT destination FROM flows)) AS n_places, ROUND(CAST(SUM(amount) AS DOUBLE) / COUNT(*), 6) AS mean_amount FROM flows", PLAIN_FLOWS)
 def flow_summary(spark, d):
     return flows.summary(marts.flows(spark, d, brands=False))
 
 
-@query("SELECT bucket, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CASE WHEN a <= 1e6 THEN '<=1M' WHEN a <= 1e7 THEN '1-10M' WHEN a <= 1e8 THEN '10-100M' WHEN a <= 1e9 THEN '100M-1B' ELSE '>1B' END AS bucket FROM (SELECT CAST(SUM(amount) AS DOUBLE) AS a FROM flows GROUP BY origin, destination)) GROUP BY 1", FLOWS)
+@query("SELECT bucket, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CASE WHEN a <= 1e6 THEN '<=1M' WHEN a <= 1e7 THEN '1-10M' WHEN a <= 1e8 THEN '10-100M' WHEN a <= 1e9 THEN '100M-1B' ELSE '>1B' END AS bucket FROM (SELECT CAST(SUM(amount) AS DOUBLE) AS a FROM flows GROUP BY origin, destination)) GROUP BY 1", PLAIN_FLOWS)
 def flow_buckets(spark, d):
     return flows.pairs(marts.flows(spark, d, brands=False)).groupBy(stats.stepped(F.col("amount"), stats.FLOW_STEPS, stats.FLOW_LAST).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -515,7 +518,7 @@ def catalog_rows(spark, d):
     return catalog.total_rows(spark, d)
 
 
-@query("SELECT COUNT(*) AS n_shown, CAST(SUM(a) AS DOUBLE) AS shown_amount FROM (SELECT SUM(amount) AS a FROM flows GROUP BY origin, destination ORDER BY a DESC, origin, destination LIMIT 25)", FLOWS)
+@query("SELECT COUNT(*) AS n_shown, CAST(SUM(a) AS DOUBLE) AS shown_amount FROM (SELECT SUM(amount) AS a FROM flows GROUP BY origin, destination ORDER BY a DESC, origin, destination LIMIT 25)", PLAIN_FLOWS)
 def flows_displayed(spark, d):
     return flows.summary(marts.flows(spark, d, brands=False), shown=25).select("n_shown", "shown_amount")
 
