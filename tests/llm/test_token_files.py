@@ -10,9 +10,11 @@ from cartulary.llm.common import fresh_path
 VOCABULARY = p.path("word_bpe_49k.json")
 
 
+LIBRARY = Tokenizer.from_file(VOCABULARY)
+
+
 def library_ids(text):
-    t = Tokenizer.from_file(VOCABULARY)
-    return [*t.encode(text or "", add_special_tokens=False).ids, token_files.END_ID]
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, token_files.END_ID]
 
 
 def test_files_hold_all_ids_in_order(spark):
