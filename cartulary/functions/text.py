@@ -98,6 +98,13 @@ def close(actual: Column, wanted: Column, tolerance: float) -> Column:
     return F.abs(actual - wanted) <= tolerance * F.greatest(F.lit(1.0), F.abs(wanted))
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """Rounds as DuckDB does: the scaled number to a whole one, halves away from 0.  Spark's `round` goes by the shortest decimal text."""
+    scale = 10.0**digits
+    whole = F.round(col(c) * scale)
+    return F.when(F.abs(whole) < float("inf"), whole / scale).otherwise(col(c))
+
+
 def district(c: Column | str) -> Column:
     """Two letters and a district number as XX-DD; null for anything else."""
     c = F.upper(F.trim(col(c)))
@@ -139,7 +146,9 @@ def metric_kind(name: Column | str) -> Column:
 
 
 def _formatted(value: Column, pattern: str) -> Column:
-    return F.call_function("format_number", value, F.lit(pattern))
+    """A number by a pattern; what isn't finite as nan and inf."""
+    written = F.call_function("format_number", value, F.lit(pattern))
+    return F.replace(F.replace(written, F.lit("NaN"), F.lit("nan")), F.lit("\u221e"), F.lit("inf"))
 
 
 def shown(name: Column | str, value: Column | str) -> Column:

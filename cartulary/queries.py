@@ -441,8 +441,10 @@ _AMOUNT = "CASE WHEN s_suppkey % 11 <> 10 THEN ROUND(s_acctbal * [0.01, 1, 10, 1
   FROM (SELECT s_suppkey, {_AMOUNT} AS a FROM supplier)""")
 def money_shown(spark, d):
     steps = F.array(*(F.lit(x) for x in (0.01, 1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e7)))
-    amount = F.when(F.col("s_suppkey") % 11 != 10, F.round(F.col("s_acctbal") * steps[(F.col("s_suppkey") % 9).cast("int")], 2))
-    return scan(spark, d, "supplier").select("s_suppkey", text.shown(F.lit("grants"), amount).alias("shown"))
+    step = F.try_element_at(steps, F.nullif((1 + F.col("s_suppkey") % 9).cast("int"), F.lit(0)))  # negative keys count from the end, as in the SQL
+    exact = scan(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 11 != 10, F.col("s_acctbal") * step).alias("a"))
+    amounts = exact.select("s_suppkey", text.rounded("a", 2).alias("a"))  # columns of their own: each is used several times
+    return amounts.select("s_suppkey", text.shown(F.lit("grants"), "a").alias("shown"))
 
 
 @query("SELECT nation, sha256(nation || ':' || CAST(customers AS VARCHAR)) AS key FROM accounts", ACCOUNTS)

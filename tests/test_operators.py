@@ -155,3 +155,9 @@ def test_streams_give_what_a_batch_gives(spark, small, tmp_path):
     assert got == {(r.start, r.event_type): r.n for r in events.windowed(batch).collect()}
     assert len(streamed(spark, events.once(stream, "4000 days"), "onces", "append")) == events.once(batch).count() == rows.count()
     assert events.sessions(batch).agg(F.sum("n")).first()[0] == rows.count() + 50
+
+
+def test_rounded_by_the_scaled_number(spark):
+    values = (69.865, -2.195, 0.125, -0.125, 1.005, 1.7e308, float("inf"), None)
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(text.rounded("v", 2).alias("x"))
+    assert [r.x for r in df.collect()] == [69.86, -2.19, 0.13, -0.13, 1.0, 1.7e308, float("inf"), None]

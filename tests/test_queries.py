@@ -84,3 +84,17 @@ def test_approximate_figures_are_near(spark, small):
     assert abs(r["keys"] / small("orders").select("o_custkey").distinct().count() - 1) < 0.1
     for k, q in enumerate((r.q1, r.q2, r.q3), 1):
         assert abs(bisect_left(prices, q) / len(prices) - k / 4) < 0.03
+
+
+@pytest.mark.parametrize(
+    ("balances", "first"),
+    [((6986.5, -219.5, 1702.5, 0.5, 1.005, 0.285, -0.004, 999.995, 1e12), 0), ((float("nan"), float("inf"), float("-inf"), None), 0), ((12.34, 1234.5), -2)],
+    ids=["ties", "not finite", "negative keys"],
+)
+def test_money_shown_rounds_as_its_sql(spark, tmp_path, balances, first):
+    rows = [(198 * k + m, "s", 0, b) for k, b in enumerate(balances, first) for m in range(11)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    want = dict(con.execute(SQL["money_shown"]).fetchall())
+    assert {r.s_suppkey: r.shown for r in QUERIES["money_shown"](spark, str(tmp_path)).collect()} == want
